@@ -37,7 +37,13 @@ def exclude_year(df: DataFrame, year: int, year_col: str = "year") -> DataFrame:
 
 
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.na.drop(subset=list(cols))
+    """Rows where every named column has a value (NaN is no value)."""
+    kinds = dict(df.dtypes)
+    for c in cols:
+        df = df.where(col(c).isNotNull())
+        if kinds[c] in ("double", "float"):
+            df = df.where(~F.isnan(col(c)))
+    return df
 
 
 def max_nulls(df: DataFrame, k: int, cols: Sequence[str] | None = None) -> DataFrame:

@@ -8,18 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnis.functions.columns import col
+from tarnis.operators.filters import complete_cases
 from tarnis.operators.frame import one_row
 
 
-def _present(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.na.drop(subset=list(on))
-
-
 def merge_outer(a: DataFrame, b: DataFrame, on: Sequence[str], null_keys: str = "drop") -> DataFrame:
     """Full outer join, one copy of the key. NULL keys are dropped, or matched with each other."""
     on = list(on)
     if null_keys == "drop":
-        return _present(a, on).join(_present(b, on), on, "full_outer")
+        return complete_cases(a, on).join(complete_cases(b, on), on, "full_outer")
     left, right = a.alias("l"), b.alias("r")
     matched = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in on]
     keys = [F.coalesce(F.col(f"l.`{k}`"), F.col(f"r.`{k}`")).alias(k) for k in on]

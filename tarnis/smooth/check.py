@@ -48,6 +48,8 @@ def lrt(m0: GamModel, m1: GamModel) -> DataFrame:
         raise ValueError("the models differ in response or rows")
     df = m1.parameters - m0.parameters
     if m0.ar is not None or m1.ar is not None:
+        if m0.frame.lags != m1.frame.lags:
+            df = len(m1.phi) - len(m0.phi)
         stat = 2 * (m1.working_loglik - m0.working_loglik)
     else:
         stat = (m0.deviance - m1.deviance) / m1.scale
