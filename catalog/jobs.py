@@ -141,7 +141,7 @@ def _index_sql(name, date, value, centre):
 
 def _climate_sql(shift: int = 0):
     months = """SELECT unnest(generate_series(start, start + INTERVAL 1 MONTH - INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS date, x, x3
-        FROM (SELECT (month + INTERVAL {s} MONTH)::DATE AS start, x, x3 FROM {index})"""
+        FROM (SELECT (month + INTERVAL ({s}) MONTH)::DATE AS start, x, x3 FROM {index})"""
     p = months.format(s=shift, index=_index_sql("lineitem", "l_shipdate", "l_quantity", 25.5))
     s = months.format(s=shift, index=_index_sql("orders", "o_orderdate", "o_custkey", "750.0"))
     return f"""(SELECT date, p.x3 AS "PDO_3MON_AVG", p.x AS pdo, s.x3 AS "SOI_3MON_AVG", s.x AS soi FROM ({p}) p JOIN ({s}) s USING (date))"""

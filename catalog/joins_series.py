@@ -247,15 +247,15 @@ def change_periods(spark, d):
 
 @query(
     _RUNS.format(
-        flag="high", order="at, o_orderkey", key="at",
-        source="SELECT o_orderdate::DATE AS at, o_orderkey, o_totalprice >= 250000 AS high FROM orders",
+        flag="high", order="day, o_orderkey", key="day",
+        source="SELECT o_orderdate::DATE AS day, o_orderkey, o_totalprice >= 250000 AS high FROM orders",
     )
 )
 def change_periods_readings(spark, d):
     df = table(spark, d, "orders").select(
-        F.col("o_orderdate").cast("date").alias("at"), "o_orderkey", (F.col("o_totalprice") >= 250000).alias("high")
+        F.col("o_orderdate").cast("date").alias("day"), "o_orderkey", (F.col("o_totalprice") >= 250000).alias("high")
     )
-    return series.change_periods(df, "at", "high", tie_breakers=["o_orderkey"])
+    return series.change_periods(df, "day", "high", tie_breakers=["o_orderkey"])
 
 
 @query(

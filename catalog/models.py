@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query, rounded, table
+from tarnis.operators.reshape import bind_rows
 from tarnis.operators.series import correlogram
 from tarnis.plans import season
 from tarnis.smooth import check, gam, linear, re, s, te, ti
@@ -80,14 +81,27 @@ def gam_linear(spark, d):
     return rounded(model.coefficients().select("coefficient", "estimate"))
 
 
+_FAMILIES = ("gamma", "inverse_gaussian", "tweedie", "gaussian")
+
+
 @query(
-    """SELECT round(avg(l_quantity), 6) AS fitted, count(*) AS n FROM lineitem"""
+    "SELECT family, status, round(fitted, 6) AS fitted, n FROM (SELECT l_linestatus AS status, avg(l_quantity) AS fitted,"
+    f" count(*) AS n FROM lineitem GROUP BY 1), (SELECT unnest({list(_FAMILIES)}) AS family)"
 )
-def gam_gamma_constant(spark, d):
-    """A log-link model of a single group predicts the mean of the response."""
-    model = gam(table(spark, d, "lineitem"), "l_quantity", [linear("l_quantity * 0")], family="gamma", lam=0.0)
-    rows = model.predict(table(spark, d, "lineitem"), scale="response", se=False)
-    return rounded(rows.agg(F.avg("fit").alias("fitted"), F.count("fit").alias("n")))
+def gam_group_means(spark, d):
+    """With one indicator and no penalty, every family's fit is the mean of each group."""
+    rows = table(spark, d, "lineitem")
+    indicator = linear("CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END")
+    out = []
+    for family in _FAMILIES:
+        model = gam(rows, "l_quantity", [indicator], family=family, power=1.4, lam=0.0)
+        made = model.predict(rows, scale="response", se=False)
+        out.append(
+            made.groupBy(F.lit(family).alias("family"), F.col("l_linestatus").alias("status")).agg(
+                F.avg("fit").alias("fitted"), F.count("fit").alias("n")
+            )
+        )
+    return rounded(bind_rows(*out))
 
 
 @query()
@@ -194,7 +208,11 @@ def gam_derivative(spark, d):
 
 @query()
 def gam_change_periods(spark, d):
-    return season.change_report(_fit_season(spark, d), "s(year)")
+    """Periods in which the number of line items per day rose or fell along the years."""
+    counts = readings(spark, d).groupBy("year", "DOY").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("time", F.col("year") + F.col("DOY") / 366)
+    terms = [s("time", bs="cr", k=20), s("DOY", bs="cc", k=12, knots=DOY)]
+    return season.change_report(gam(counts, "n", terms, family="gamma"), "s(time)")
 
 
 @query()

@@ -73,8 +73,8 @@ def temporal_ranges(spark, d):
 
 
 @query(
-    """SELECT min(x) AS min, round(quantile_cont(x, 0.25), 6) AS q1, round(median(x), 6) AS median, round(avg(x), 6) AS mean,
-    round(quantile_cont(x, 0.75), 6) AS q3, max(x) AS max, count(*) - count(x) AS nulls
+    """SELECT round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS q1, round(median(x), 6) AS median, round(avg(x), 6) AS mean,
+    round(quantile_cont(x, 0.75), 6) AS q3, round(max(x), 6) AS max, count(*) - count(x) AS nulls
     FROM (SELECT nullif(l_extendedprice * l_discount, 0) AS x FROM lineitem)"""
 )
 def quartile_summary(spark, d):

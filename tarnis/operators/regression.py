@@ -33,13 +33,14 @@ class LinearFit:
         rows = []
         for name, b, s in zip(self.terms, self.coef, self.se):
             t = b / s if s > 0 else float("inf")
-            rows.append((name, float(b), float(s), float(t), t_two_sided(abs(t), self.df)))
+            rows.append((name, float(b), float(s), float(t), float(t_two_sided(abs(t), self.df))))
         return self._frame(rows, "term string, estimate double, se double, t double, p double")
 
     def summary(self) -> DataFrame:
         k = len(self.terms) - 1
         p = f_tail(self.f_stat, k, self.df)
-        row = (self.n, self.r2, self.adj_r2, self.sigma, self.df, self.f_stat, p)
+        numbers = [float(v) for v in (self.r2, self.adj_r2, self.sigma)]
+        row = (self.n, *numbers, self.df, float(self.f_stat), float(p))
         return self._frame(
             [row], "n long, r2 double, adj_r2 double, sigma double, df int, f double, p double"
         )
