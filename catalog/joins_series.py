@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 from pyspark.sql import functions as F
@@ -42,11 +43,14 @@ def phase_of_reading(spark, d):
     ON o_orderdate >= s AND o_orderdate < e GROUP BY phase"""
 )
 def date_phases(spark, d):
-    spans = spark.createDataFrame(
-        [("dry", "1995-03-10", "1996-07-01"), ("wet", "1996-07-01", "1999-12-31"), ("mixed", "1999-11-01", "2000-02-29")],
-        "phase string, start string, end string",
+    spans = phase_table(
+        spark,
+        [
+            ("dry", dt.date(1995, 3, 10), dt.date(1996, 7, 1)),
+            ("wet", dt.date(1996, 7, 1), dt.date(1999, 12, 31)),
+            ("mixed", dt.date(1999, 11, 1), dt.date(2000, 2, 29)),
+        ],
     )
-    spans = spans.withColumns({"start": F.to_date("start"), "end": F.to_date("end")})
     labelled = joins.label_date_phases(table(spark, d, "orders"), spans, "o_orderdate")
     return labelled.groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
 

@@ -55,7 +55,7 @@ _GRAM = ["1.0", "l_quantity", "l_discount", "l_tax"]
 
 @query(
     " UNION ALL ".join(
-        f"SELECT CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, round(sum({a} * {b}), 3) AS value FROM lineitem"
+        f"SELECT CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, round(sum({a} * {b}), 5) AS value FROM lineitem"
         for i, a in enumerate(_GRAM)
         for j, b in enumerate(_GRAM)
     )
@@ -68,7 +68,7 @@ def gram_matrix(spark, d):
     gram = run_pass(frame, Design(smooths, variables).place(), Gaussian(), None).gram
     frame.cells.unpersist()
     rows = [(i, j, float(gram[i, j])) for i in range(4) for j in range(4)]
-    return rounded(spark.createDataFrame(rows, "i int, j int, value double"), 3)
+    return rounded(spark.createDataFrame(rows, "i int, j int, value double"), 5)
 
 
 @query(

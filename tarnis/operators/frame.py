@@ -17,6 +17,7 @@ from tarnis.functions.columns import (
     strict_sum,
     week_of_year,
 )
+from tarnis.session import settle
 
 
 def select_columns(df: DataFrame, first: Sequence[str], rest: bool = False, drop: Sequence[str] = ()) -> DataFrame:
@@ -102,7 +103,8 @@ def zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFr
         return df.withColumns(
             {c: scale(c, stats[f"_m{i}"], stats[f"_s{i}"]) for i, c in enumerate(cols)}
         )
-    joined = df.join(df.groupBy(*by).agg(*pieces), list(by))
+    # stored, so that few groups are broadcast to the rows and many are not
+    joined = df.join(settle(df.groupBy(*by).agg(*pieces), "zscore"), list(by))
     scaled = {c: scale(c, F.col(f"_m{i}"), F.col(f"_s{i}")) for i, c in enumerate(cols)}
     return joined.withColumns(scaled).select(*[col(c) for c in df.columns])
 

@@ -57,22 +57,25 @@ def over_neighbours(
     after: int = 0,
     bounded: bool = False,
     block_rows: int = BLOCK_ROWS,
+    index: str | None = None,
 ) -> DataFrame:
     """Add window columns that look at most `before` rows back and `after` rows ahead.
 
     With `bounded=True` (series known to be short, such as one row per month) this is a plain
     window per series. Otherwise rows are numbered and cut into blocks of equal size; the rows at a
     block's edge are copied to its neighbour, so each block has all the rows its windows reach and
-    a series that holds most of the table is spread over many tasks.
+    a series that holds most of the table is spread over many tasks. `index` names a row number the
+    frame already has.
     """
     if bounded:
         w = Window.partitionBy(*[col(c) for c in by]).orderBy(*[col(c) for c in order])
         return df.withColumns({name: make(w) for name, make in columns.items()})
     if max(before, after) > block_rows:
         raise ValueError("a window may not reach further than one block")
-    numbered = with_row_index(df, [*by, *order], "_row")
-    home = F.floor(F.col("_row") / block_rows)
-    place = F.pmod(F.col("_row"), F.lit(block_rows))
+    row = index or "_row"
+    numbered = df if index else with_row_index(df, [*by, *order], row)
+    home = F.floor(F.col(row) / block_rows)
+    place = F.pmod(F.col(row), F.lit(block_rows))
     targets = F.array(
         home,
         F.when(place >= block_rows - before, home + 1) if before else F.lit(None).cast("long"),
@@ -81,28 +84,30 @@ def over_neighbours(
     copies = numbered.withColumn("_home", home).withColumn(
         "_block", F.explode(F.filter(targets, lambda t: t.isNotNull()))
     )
-    w = Window.partitionBy(*[col(c) for c in by], "_block").orderBy("_row")
+    w = Window.partitionBy(*[col(c) for c in by], "_block").orderBy(row)
     out = copies.withColumns({name: make(w) for name, make in columns.items()})
-    return out.where(F.col("_block") == F.col("_home")).drop("_row", "_home", "_block")
+    out = out.where(F.col("_block") == F.col("_home")).drop("_home", "_block")
+    return out if index else out.drop(row)
 
 
 def with_running_total(
     df: DataFrame,
     value: Column,
-    order: Sequence,
+    index: str,
     by: Sequence[str] = (),
     name: str = "total",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Running sum along each series: block totals first (one row per block), then within blocks."""
-    numbered = with_row_index(df, [*by, *order], "_row").withColumns(
-        {"_block": F.floor(F.col("_row") / block_rows), "_value": value}
-    )
+    """Running sum along each series in the order of a row number: block totals first (one row per
+    block), then within blocks."""
+    blocked = df.withColumns({"_block": F.floor(F.col(index) / block_rows), "_value": value})
     keys = [*by, "_block"]
-    blocks = numbered.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
+    blocks = blocked.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-    inside = Window.partitionBy(*keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    joined = numbered.join(blocks.drop("_sum"), keys)
+    blocks = blocks.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_before")
+    same = [col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    inside = Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    joined = blocked.join(blocks, same).drop(*[f"_k{i}" for i in range(len(keys))])
     summed = joined.withColumn(name, F.col("_before") + F.sum("_value").over(inside))
-    return summed.drop("_row", "_block", "_value", "_before")
+    return summed.drop("_block", "_value", "_before")

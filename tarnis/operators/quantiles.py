@@ -3,7 +3,9 @@
 `percentile` keeps every distinct value of a group in one task. Here the range of a group is cut
 into equal bins, the bins are counted (map-side first), and only the bins that hold a wanted rank are cut
 again; the last step counts the distinct values of those bins. Bin counts give the exact rank
-inside a bin, so the result is exact for any distribution.
+inside a bin, so the result is exact for any distribution. The few bins kept after each pass are
+stored, so a pass reads the rows once, with the bins broadcast to it when they are small, and the
+rows themselves are never shuffled by group.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tarnis.functions.columns import col
 from tarnis.operators.frame import one_row
+from tarnis.session import settle
 
 BINS = 4096
 
@@ -50,7 +53,7 @@ def quantiles(
         ]
     )
     wanted = F.flatten(F.array(*[target(i, p) for i, p in enumerate(probs)]))
-    span = span.withColumn("wanted", wanted)
+    span = settle(span.withColumn("wanted", wanted), "quantiles")
 
     first, active = _refine(rows, span, keys, "_b1", bins)
     second, active = _refine(first, active, [*keys, "_b1"], "_b2", bins)
@@ -101,7 +104,7 @@ def _refine(parts: DataFrame, edges: DataFrame, ids: list[str], out: str, bins:
     w = Window.partitionBy(*ids).orderBy(out).rowsBetween(Window.unboundedPreceding, 0)
     counts = _lookup(counts.withColumn("upto", F.sum("c").over(w)), edges, ids, ["wanted"])
     active = counts.select(*ids, out, "lo", "hi", _ranks_here().alias("wanted"))
-    return binned, active.where(F.size("wanted") > 0)
+    return binned, settle(active.where(F.size("wanted") > 0), "quantiles")
 
 
 def group_quantiles(df, value, probs, by=(), names=None, method: str = "select") -> DataFrame:

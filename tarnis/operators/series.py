@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnis.functions.columns import col
-from tarnis.operators.order import over_neighbours, with_running_total
+from tarnis.operators.order import over_neighbours, with_row_index, with_running_total
 
 MAX_LAG = 36
 
@@ -245,13 +245,17 @@ def change_periods(
     on = F.coalesce(col(flag), F.lit(False))
     previous = {"_prev": lambda w: F.lag(F.col("_on")).over(w)}
     rows = df.select(*[col(c) for c in keys], *[col(c) for c in seq], on.alias("_on"))
-    marked = over_neighbours(rows, previous, seq, keys, before=1, bounded=bounded)
+    index = None
+    if not bounded:
+        index = "_row"
+        rows = with_row_index(rows, [*keys, *seq], index)
+    marked = over_neighbours(rows, previous, seq, keys, before=1, bounded=bounded, index=index)
     starts = (F.col("_on") & ~F.coalesce(F.col("_prev"), F.lit(False))).cast("long")
     if bounded:
         w = Window.partitionBy(*keys).orderBy(*seq).rowsBetween(Window.unboundedPreceding, 0)
         numbered = marked.withColumn("_run", F.sum(starts).over(w))
     else:
-        numbered = with_running_total(marked, starts, seq, keys, "_run")
+        numbered = with_running_total(marked, starts, index, keys, "_run")
     return (
         numbered.where("_on")
         .groupBy(*keys, "_run")

@@ -15,8 +15,9 @@ from tarnis.operators.quantiles import group_quantiles
 def _attach(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join two summaries of the same groups; a single-row summary is read as a scalar."""
     if by:
-        same = [left[c].eqNullSafe(right[c]) for c in by]
-        return left.join(right, same, "left").drop(*[right[c] for c in by])
+        keyed = right.withColumnsRenamed({c: f"_by_{c}" for c in by})
+        same = [col(c).eqNullSafe(F.col(f"`_by_{c}`")) for c in by]
+        return left.join(keyed, same, "left").drop(*[f"_by_{c}" for c in by])
     s = one_row(right)
     return left.select("*", *[s[c].alias(c) for c in right.columns])
 
@@ -145,7 +146,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], use: str = "pairwise", by: S
         xa, xb = F.when(both, col(a).cast("double")), F.when(both, col(b).cast("double"))
         # no variation in a column: no correlation
         varies = (F.min(xa) < F.max(xa)) & (F.min(xb) < F.max(xb))
-        made.append(F.when(varies, F.corr(xa, xb)).alias(f"_r{i}"))
+        spread = F.stddev_pop(xa) * F.stddev_pop(xb)
+        made.append(F.when(varies, F.try_divide(F.covar_pop(xa, xb), spread)).alias(f"_r{i}"))
     one = df.groupBy(*by).agg(*made)
     cells = F.array(
         *[

@@ -43,3 +43,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows, their partitions and their order are fixed from here on."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def settle(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    Later steps read the stored rows instead of computing them again, and since the size of a stored
+    table is known the optimiser broadcasts it exactly when it is small enough.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
