@@ -141,40 +141,33 @@ def k_check(model: GamModel, df: DataFrame | None = None) -> DataFrame:
     distribution from the moments of a random ordering. For smooths of two variables neighbours are
     the rows of one cell of a fine grid, summed per cell.
     """
-    rows = model._rows() if df is None else df
-    y = "y" if df is None else model.frame.response
-    res = _with_deviance(model, rows, y)
+    variables = model.design.variables
+    if df is None:
+        rows = model.fitted_rows()
+    else:
+        rows = model.residuals(df).select(
+            "deviance", model._observed().alias("y"), *[F.expr(v).alias(f"x{i}") for i, v in enumerate(variables)]
+        )
+    covs = [f"x{i}" for i in range(len(variables))]
+    # tied covariate values are put in a fixed, arbitrary order
+    res = rows.select("deviance", *covs, F.xxhash64("y", *covs).alias("tie"))
+    res = res.where(F.col("deviance").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     out = []
     for sm in model.design.smooths:
         if sm.term.kind in ("re", "linear"):
             continue
         edf = float(model.edf_coef[sm.block].sum())
-        names = [f"`{v}`" if df is None else v for v in sm.term.variables]
-        covs = [F.expr(v).alias(f"c{i}") for i, v in enumerate(names)]
-        pairs = res.select("deviance", *covs, "tie").na.drop()
-        if len(names) == 1:
-            # tied covariate values are put in a fixed, arbitrary order
+        pairs = res.select("deviance", "tie", *[F.col(f"x{c}").alias(f"c{i}") for i, c in enumerate(sm.columns)])
+        if len(sm.columns) == 1:
             r1 = correlogram(pairs, "deviance", ["c0", "tie"], max_lag=1).where("lag = 1").first()["acf"]
             index, sd = 1 - (r1 or 0.0), 1 / math.sqrt(model.n)
         else:
-            index, sd = _cell_index(pairs, len(names))
+            index, sd = _cell_index(pairs, len(sm.columns))
         out.append((sm.label, sm.size, edf, float(index), float(normal_cdf((index - 1) / sd))))
+    res.unpersist()
     return model._local(out, "term string, max_df int, edf double, k_index double, p double")
 
 
-def _with_deviance(model: GamModel, rows: DataFrame, y: str) -> DataFrame:
-    design, beta, family = model.design, model.beta, model.family
-
-    def make(values, obs):
-        mu = family.mean(design.matrix(values) @ beta)
-        return [np.sign(obs - mu) * np.sqrt(family.unit_deviance(obs, mu))]
-
-    names = {v: v for v in design.variables} if y == "y" else None
-    made = model._evaluate(make, ["d"], [F.expr(y).cast("double").alias("_y")], names=names)
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
-    return rows.withColumns({"_p": made, "tie": tie}).withColumn("deviance", F.col("_p.d")).drop("_p")
-
-
 def _cell_index(pairs: DataFrame, d: int) -> tuple[float, float]:
     ends = one_row(
         pairs.agg(*[F.min(f"c{i}").alias(f"lo{i}") for i in range(d)], *[F.max(f"c{i}").alias(f"hi{i}") for i in range(d)])

@@ -56,10 +56,12 @@ class Family:
         return 0.0
 
     def unit_deviance(self, y, mu):
-        return np.maximum(self.deviance(np.ones_like(mu), y, np.zeros_like(mu), mu) + self.own_part(y), 0)
+        """Deviance of single rows, as a column."""
+        raise NotImplementedError
 
-    def own_part(self, y):
-        return 0.0
+    def variance_of(self, mu):
+        """Variance function as a column."""
+        return F.pow(mu, F.lit(float(self.variance_power)))
 
     def likelihood_terms(self, n, ybar, mu):
         """Two sums over cells used by `loglik`."""
@@ -79,6 +81,9 @@ class Gaussian(Family):
     def deviance(self, n, ybar, m2, mu):
         return m2 + n * (ybar - mu) ** 2
 
+    def unit_deviance(self, y, mu):
+        return (y - mu) * (y - mu)
+
     def loglik(self, fit):
         return -fit.n / 2 * (math.log(2 * math.pi * fit.deviance / fit.n) + 1)
 
@@ -100,8 +105,8 @@ class Gamma(Family):
     def deviance_constant(self, total):
         return -2 * total
 
-    def own_part(self, y):
-        return -2 * np.log(y)
+    def unit_deviance(self, y, mu):
+        return 2 * ((y - mu) / mu - F.ln(y / mu))
 
     def likelihood_terms(self, n, ybar, mu):
         return float(np.sum(n * ybar / mu)), float(np.sum(n * np.log(mu)))
@@ -135,8 +140,8 @@ class InverseGaussian(Family):
     def deviance_constant(self, total):
         return total[0]
 
-    def own_part(self, y):
-        return 1 / y
+    def unit_deviance(self, y, mu):
+        return F.try_divide((y - mu) * (y - mu), mu * mu * y)
 
     def loglik(self, fit):
         scale = fit.deviance / fit.n
@@ -167,9 +172,10 @@ class Tweedie(Family):
         p = self.variance_power
         return 2 * total / ((1 - p) * (2 - p))
 
-    def own_part(self, y):
+    def unit_deviance(self, y, mu):
         p = self.variance_power
-        return 2 * y ** (2 - p) / ((1 - p) * (2 - p))
+        own = F.pow(y, F.lit(2 - p)) / ((1 - p) * (2 - p))
+        return 2 * (own - y * F.pow(mu, F.lit(1 - p)) / (1 - p) + F.pow(mu, F.lit(2 - p)) / (2 - p))
 
     def likelihood_terms(self, n, ybar, mu):
         p = self.variance_power
@@ -237,6 +243,10 @@ class ScaledT(Family):
         s2 = (self.sigma or 1.0) ** 2
         return n * s2 * (self.nu + 1) * np.log1p((ybar - mu) ** 2 / (s2 * self.nu))
 
+    def unit_deviance(self, y, mu):
+        s2 = (self.sigma or 1.0) ** 2
+        return s2 * (self.nu + 1) * F.log1p((y - mu) * (y - mu) / (s2 * self.nu))
+
     def pearson(self, n, ybar, m2, mu):
         return n * (ybar - mu) ** 2
 

@@ -63,6 +63,7 @@ class Frame:
     parts: int
     response: str
     lags: int = 0
+    compressed: bool = False  # fewer covariate combinations than rows
 
 
 def prepare(df: DataFrame, response: str, variables: list[str], family: Family, categories: set[str], ar: AR | None) -> Frame:
@@ -98,6 +99,7 @@ def prepare(df: DataFrame, response: str, variables: list[str], family: Family,
     if family.log_link and (stats["low"] < 0 or (family.positive and stats["low"] <= 0)):
         raise ValueError(f"{family.name} needs {'positive' if family.positive else 'non-negative'} responses")
 
+    compressed = not family.by_row and stats["combos"] < 0.5 * stats["n"]
     if ar:
         cols = ["y", *names]
         shift = {
@@ -109,7 +111,7 @@ def prepare(df: DataFrame, response: str, variables: list[str], family: Family,
         cells = over_neighbours(rows, shift, order, ["_by"], before=ar.p, bounded=ar.bounded)
         cells = cells.drop("_by", *order).withColumnRenamed("y", "ybar")
         cells = cells.withColumns({"n": F.lit(1.0), "m2": F.lit(0.0)})
-    elif not family.by_row and stats["combos"] < 0.5 * stats["n"]:
+    elif compressed:
         cells = rows.groupBy(*names).agg(
             F.count("y").cast("double").alias("n"),
             F.avg("y").alias("ybar"),
@@ -117,10 +119,14 @@ def prepare(df: DataFrame, response: str, variables: list[str], family: Family,
         )
     else:
         cells = rows.select(*names, y.alias("ybar"), F.lit(1.0).alias("n"), F.lit(0.0).alias("m2"))
+    # few large input splits would leave cores idle in every pass
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not compressed and not ar and cells.rdd.getNumPartitions() < cores:
+        cells = cells.repartition(cores)
     cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     return Frame(
         cells, rows, variables, stats["n"], stats["mean"], stats["var"] * stats["n"],
-        stats["total"], cells.rdd.getNumPartitions(), response, ar.p if ar else 0,
+        stats["total"], cells.rdd.getNumPartitions(), response, ar.p if ar else 0, compressed,
     )
 
 

@@ -22,6 +22,7 @@ from tarnis.operators.joins import grid, mask_far
 from tarnis.operators.quantiles import group_quantiles
 from tarnis.operators.reshape import to_long
 from tarnis.operators.series import significant_change
+from tarnis.session import settle
 from tarnis.smooth.sums import sum_over_rows
 
 
@@ -201,9 +202,8 @@ class GamModel:
             cols.append(c.cast("string" if v in kinds else "double").alias(f"x{i}"))
         return cols
 
-    def _evaluate(self, make, fields: Sequence[str], extra: Sequence[Column] = (), names=None) -> Column:
-        """Struct column of `make(values, extras) -> arrays`, NULL where a covariate is missing."""
-        count = len(self.design.variables)
+    def _evaluate(self, make, fields: Sequence[str], names=None) -> Column:
+        """Struct column of `make(values) -> arrays`, NULL where a covariate is missing."""
 
         @F.pandas_udf(_struct(fields))
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -211,12 +211,39 @@ class GamModel:
             out = np.full((len(pdf), len(fields)), np.nan)
             if ok.any():
                 known = pdf[ok]
-                values = [known[f"x{i}"].to_numpy() for i in range(count)]
-                extras = [known[c].to_numpy() for c in known.columns[count:]]
-                out[ok] = np.column_stack(make(values, *extras))
+                out[ok] = np.column_stack(make([known[c].to_numpy() for c in known.columns]))
             return pd.DataFrame(out, columns=list(fields))
 
-        return run(F.struct(*self._covariates(names), *extra))
+        return run(F.struct(*self._covariates(names)))
+
+    def _with_values(self, df: DataFrame, make, fields: Sequence[str], names=None, grid=None) -> DataFrame:
+        """Add `make(values)` as the struct column _p.
+
+        Where the covariates of the fit repeat (year and day of year, say), the basis is evaluated
+        once per combination and joined back, so the rows themselves never leave the JVM; the
+        combinations are stored first and broadcast when they are few. Otherwise, and on grids (by
+        default where `names` gives ready columns), it is evaluated row by row in batches.
+        """
+        on_grid = names is not None if grid is None else grid
+        if on_grid or not self.frame.compressed:
+            return df.withColumn("_p", self._evaluate(make, fields, names))
+        keys = [f"_x{i}" for i in range(len(self.design.variables))]
+        tagged = df.withColumns(dict(zip(keys, self._covariates(names))))
+        ready = dict(zip(self.design.variables, keys))
+        combos = tagged.select(*keys).distinct()
+        values = settle(combos.select(*keys, self._evaluate(make, fields, ready).alias("_p")), "values")
+        values = values.withColumnsRenamed({k: f"{k}r" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in keys]
+        return tagged.join(values, same, "left").drop(*keys, *[f"{k}r" for k in keys])
+
+    def _observed(self) -> Column:
+        return F.expr(self.frame.response).cast("double")
+
+    def _mean(self, eta: Column) -> Column:
+        return F.exp(eta) if self.family.log_link else eta
+
+    def _working(self, y: Column, mu: Column) -> Column:
+        return (y - mu) / mu if self.family.log_link else y - mu
 
     def _link(self):
         design, beta, cov = self.design, self.beta, self.covariance
@@ -233,7 +260,7 @@ class GamModel:
         On the response scale the fit and the interval bounds are transformed; `se` stays on the link
         scale and `se_response` is its first-order equivalent.
         """
-        out = df.withColumn("_p", self._evaluate(self._link(), ["fit", "se"], names=names))
+        out = self._with_values(df, self._link(), ["fit", "se"], names)
         eta, err = F.col("_p.fit"), F.col("_p.se")
         back = F.exp if self.family.log_link and scale == "response" else (lambda c: c)
         made = {"fit": back(eta)}
@@ -252,26 +279,35 @@ class GamModel:
             x = sm.design(values)
             return x @ b, np.sqrt(np.maximum(np.einsum("ij,ij->i", x @ v, x), 0))
 
-        out = df.withColumn("_p", self._evaluate(make, ["effect", "se"], names=names))
+        out = self._with_values(df, make, ["effect", "se"], names)
         return out.withColumns(
             {"effect": F.col("_p.effect"), "effect_se": F.col("_p.se"), "constant": F.lit(float(beta[0]))}
         ).drop("_p")
 
     def residuals(self, df: DataFrame) -> DataFrame:
         """Add linear_predictor, fitted and the working, Pearson and deviance residuals."""
-        design, beta, family = self.design, self.beta, self.family
-
-        def make(values, y):
-            eta = design.matrix(values) @ beta
-            mu = family.mean(eta)
-            working = (y - mu) / mu if family.log_link else y - mu
-            deviance = np.sign(y - mu) * np.sqrt(family.unit_deviance(y, mu))
-            return eta, mu, working, (y - mu) / np.sqrt(family.variance(mu)), deviance
-
-        fields = ["linear_predictor", "fitted", "working", "pearson", "deviance"]
-        y = F.expr(self.frame.response).cast("double").alias("_y")
-        out = df.withColumn("_p", self._evaluate(make, fields, [y]))
-        return out.withColumns({f: F.col(f"_p.{f}") for f in fields}).drop("_p")
+        out = self._with_values(df, self._link(), ["fit", "se"])
+        return self._add_residuals(out, self._observed())
+
+    def fitted_rows(self) -> DataFrame:
+        """The rows of the fit (y, x0, x1, ... as evaluated then) with their residuals."""
+        names = {v: f"x{i}" for i, v in enumerate(self.design.variables)}
+        rows = self.frame.rows.select("y", *names.values())
+        return self._add_residuals(self._with_values(rows, self._link(), ["fit", "se"], names, grid=False), F.col("y"))
+
+    def _add_residuals(self, df: DataFrame, y: Column) -> DataFrame:
+        eta = F.col("_p.fit")
+        mu = self._mean(eta)
+        unit = F.greatest(self.family.unit_deviance(y, mu), F.lit(0.0))
+        return df.withColumns(
+            {
+                "linear_predictor": eta,
+                "fitted": mu,
+                "working": self._working(y, mu),
+                "pearson": (y - mu) / F.sqrt(self.family.variance_of(mu)),
+                "deviance": F.signum(y - mu) * F.sqrt(unit),
+            }
+        ).drop("_p")
 
     # --- derived reports ---
 
@@ -310,7 +346,7 @@ class GamModel:
 
         points = self.line(variable, n)
         names = {c: c for c in self.design.variables}
-        out = points.withColumn("_p", self._evaluate(make, ["derivative", "se"], names=names))
+        out = self._with_values(points, make, ["derivative", "se"], names)
         d, e = F.col("_p.derivative"), F.col("_p.se")
         return out.withColumns(
             {"derivative": d, "derivative_se": e, "lower_ci": d - crit * e, "upper_ci": d + crit * e}
@@ -363,31 +399,27 @@ class GamModel:
 
     def partial_effects(self, df: DataFrame, ids: Sequence[str]) -> DataFrame:
         """Every term's effect per row with its standard error and partial residual, long form."""
-        design, beta, cov, family = self.design, self.beta, self.covariance, self.family
+        design, beta, cov = self.design, self.beta, self.covariance
         smooths = design.smooths
-        fields = [f"{kind}{i}" for i in range(len(smooths)) for kind in ("effect", "se", "partial")]
+        fields = ["eta", *[f"{kind}{i}" for i in range(len(smooths)) for kind in ("effect", "se")]]
 
-        def make(values, y):
+        def make(values):
             x = design.matrix(values)
-            mu = family.mean(x @ beta)
-            working = (y - mu) / mu if family.log_link else y - mu
-            out = []
+            out = [x @ beta]
             for sm in smooths:
                 xb, v = x[:, sm.block], cov[sm.block, sm.block]
-                effect = xb @ beta[sm.block]
-                err = np.sqrt(np.maximum(np.einsum("ij,ij->i", xb @ v, xb), 0))
-                out += [effect, err, effect + working]
+                out += [xb @ beta[sm.block], np.sqrt(np.maximum(np.einsum("ij,ij->i", xb @ v, xb), 0))]
             return out
 
-        y = F.expr(self.frame.response).cast("double").alias("_y")
-        wide = df.withColumn("_p", self._evaluate(make, fields, [y]))
+        wide = self._with_values(df, make, fields)
+        working = self._working(self._observed(), self._mean(F.col("_p.eta")))
         per_term = F.array(
             *[
                 F.struct(
                     F.lit(sm.label).alias("term"),
                     F.col(f"_p.effect{i}").alias("effect"),
                     F.col(f"_p.se{i}").alias("se"),
-                    F.col(f"_p.partial{i}").alias("partial_residual"),
+                    (F.col(f"_p.effect{i}") + working).alias("partial_residual"),
                 )
                 for i, sm in enumerate(smooths)
             ]
