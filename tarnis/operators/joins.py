@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnis.functions.columns import col
 from tarnis.operators.filters import complete_cases
 from tarnis.operators.frame import one_row
+from tarnis.session import settle
 
 
 def merge_outer(a: DataFrame, b: DataFrame, on: Sequence[str], null_keys: str = "drop") -> DataFrame:
@@ -96,8 +97,12 @@ def expand_months(df: DataFrame, date: str, cols: Sequence[str], out: str = "dat
 
 
 def join_monthly(daily: DataFrame, monthly: DataFrame, date: str, month: str, how: str = "inner", by: Sequence[str] = ()) -> DataFrame:
-    """Bring monthly values to daily rows without expanding them: equality on the month start."""
-    keyed = monthly.withColumnRenamed(month, "_month")
+    """Bring monthly values to daily rows without expanding them: equality on the month start.
+
+    The monthly table (12 rows a year and series) is stored first, so that its size is known and it
+    is broadcast if small; otherwise every reading would be shuffled by month.
+    """
+    keyed = settle(monthly.withColumnRenamed(month, "_month"), "monthly")
     on = F.trunc(col(date), "month") == F.col("_month")
     if not by:
         return daily.join(keyed, on, how).drop("_month")

@@ -24,9 +24,10 @@ def with_row_index(df: DataFrame, order: Sequence, name: str = "row_id") -> Data
 
     Range partitions are sorted and saved to the checkpoint folder, so partitions and order stay
     fixed if an executor is lost; one count per partition then gives each partition its offset.
-    List enough columns to make the order unique: rows that tie are numbered in any order.
+    List enough columns to make the order unique: rows that tie are numbered in any order (by a
+    hash of the row, so a value that many rows share can still be split over partitions).
     """
-    keys = [col(c) for c in order]
+    keys = [*[col(c) for c in order], F.xxhash64(*[col(c) for c in df.columns])]
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     position = F.monotonically_increasing_id()
     saved = cut_lineage(

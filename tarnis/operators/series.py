@@ -122,7 +122,9 @@ def correlogram(
     rows = df.select(*[col(c) for c in keys], *[col(c).alias(f"_o{i}") for i, c in enumerate(order)], col(value).cast("double").alias("_x"))
     rows = rows.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     sort = [*keys, *[f"_o{i}" for i in range(len(order))]]
-    ordered = rows.repartitionByRange(*[col(c) for c in sort]).sortWithinPartitions(*[col(c) for c in sort])
+    # the value comes last, so rows that share a time can still be split over partitions
+    sort = [col(c) for c in [*sort, "_x"]]
+    ordered = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
     ordered = ordered.select(*keys, "_x", F.spark_partition_id().alias("_part"))
 
     fields = [ordered.schema[c] for c in keys]

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from tarnis.functions.columns import normal_quantile
 from tarnis.functions.stats import chi2_tail, normal_cdf
 from tarnis.operators.frame import one_row
-from tarnis.operators.order import with_row_index
+from tarnis.operators.order import over_neighbours, with_row_index
 from tarnis.operators.quantiles import group_quantiles
-from tarnis.operators.series import correlogram
 from tarnis.operators.summary import histogram
 from tarnis.smooth.fit import (
     Pass,
@@ -137,56 +136,73 @@ def k_check(model: GamModel, df: DataFrame | None = None) -> DataFrame:
 
     Neighbours along a covariate should have unrelated residuals: the index compares the variance
     of residual differences between neighbours with that of all residuals, and is below 1 if
-    structure is left. It is computed on all rows (lag-1 correlation in covariate order), its null
-    distribution from the moments of a random ordering. For smooths of two variables neighbours are
-    the rows of one cell of a fine grid, summed per cell.
+    structure is left. All rows count. Rows with the same covariate value have no order of their
+    own; the expectation over all their orders is used, which needs only their number, mean and
+    variance, so rows are summed per covariate combination before anything is sorted. The p value
+    takes the spread of the index under a random ordering. For smooths of two variables neighbours
+    are the rows of one cell of a fine grid.
     """
     variables = model.design.variables
+    covs = [f"x{i}" for i in range(len(variables))]
     if df is None:
         rows = model.fitted_rows()
     else:
-        rows = model.residuals(df).select(
-            "deviance", model._observed().alias("y"), *[F.expr(v).alias(f"x{i}") for i, v in enumerate(variables)]
-        )
-    covs = [f"x{i}" for i in range(len(variables))]
-    # tied covariate values are put in a fixed, arbitrary order
-    res = rows.select("deviance", *covs, F.xxhash64("y", *covs).alias("tie"))
-    res = res.where(F.col("deviance").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = model.residuals(df).select("deviance", *[F.expr(v).alias(x) for v, x in zip(variables, covs)])
+    rows = rows.where(F.col("deviance").isNotNull())
+    e = F.col("deviance")
+    if model.frame.compressed:
+        sums = rows.groupBy(*covs).agg(F.count(e).alias("n"), F.avg(e).alias("m"), F.var_pop(e).alias("v"))
+    else:
+        sums = rows.select(*covs, F.lit(1).cast("long").alias("n"), e.alias("m"), F.lit(0.0).alias("v"))
+    sums = sums.persist(StorageLevel.MEMORY_AND_DISK)
+    n, overall = _spread(sums)
     out = []
     for sm in model.design.smooths:
         if sm.term.kind in ("re", "linear"):
             continue
         edf = float(model.edf_coef[sm.block].sum())
-        pairs = res.select("deviance", "tie", *[F.col(f"x{c}").alias(f"c{i}") for i, c in enumerate(sm.columns)])
-        if len(sm.columns) == 1:
-            r1 = correlogram(pairs, "deviance", ["c0", "tie"], max_lag=1).where("lag = 1").first()["acf"]
-            index, sd = 1 - (r1 or 0.0), 1 / math.sqrt(model.n)
+        at = [covs[c] for c in sm.columns]
+        if len(at) == 1:
+            index, sd = _line_index(sums, at[0], n, overall), 1 / math.sqrt(n)
         else:
-            index, sd = _cell_index(pairs, len(sm.columns))
+            index, sd = _cell_index(sums, at, overall)
         out.append((sm.label, sm.size, edf, float(index), float(normal_cdf((index - 1) / sd))))
-    res.unpersist()
+    sums.unpersist()
     return model._local(out, "term string, max_df int, edf double, k_index double, p double")
 
 
-def _cell_index(pairs: DataFrame, d: int) -> tuple[float, float]:
-    ends = one_row(
-        pairs.agg(*[F.min(f"c{i}").alias(f"lo{i}") for i in range(d)], *[F.max(f"c{i}").alias(f"hi{i}") for i in range(d)])
-    )
-    cells = [
-        F.floor((F.col(f"c{i}") - ends[f"lo{i}"]) / (ends[f"hi{i}"] - ends[f"lo{i}"]) * (CELLS - 1e-9)).alias(f"g{i}")
-        for i in range(d)
+def _pooled():
+    """Count, mean and variance of a union of groups with count n, mean m and variance v."""
+    total = F.sum("n")
+    mean = F.sum(F.col("n") * F.col("m")) / total
+    square = F.sum(F.col("n") * (F.col("v") + F.col("m") * F.col("m"))) / total
+    return [total.alias("n"), mean.alias("m"), F.greatest(square - mean * mean, F.lit(0.0)).alias("v")]
+
+
+def _spread(sums: DataFrame) -> tuple[int, float]:
+    r = sums.agg(*_pooled()).first()
+    return r["n"], r["n"] * r["v"] / (r["n"] - 1)
+
+
+def _line_index(sums: DataFrame, x: str, n: int, overall: float) -> float:
+    values = sums.groupBy(x).agg(*_pooled())
+    # squared differences of neighbours: inside a group of equal values, and from group to group
+    previous = {f"{c}0": (lambda w, c=c: F.lag(c).over(w)) for c in ("m", "v")}
+    stepped = over_neighbours(values, previous, [x], before=1)
+    jump = F.col("v") + F.col("v0") + F.pow(F.col("m") - F.col("m0"), F.lit(2))
+    r = stepped.agg(F.sum(2 * F.col("n") * F.col("v")).alias("inside"), F.sum(jump).alias("between")).first()
+    return (r["inside"] + (r["between"] or 0.0)) / (2 * (n - 1)) / overall
+
+
+def _cell_index(sums: DataFrame, at: Sequence[str], overall: float) -> tuple[float, float]:
+    ends = one_row(sums.agg(*[F.min(x).alias(f"lo_{x}") for x in at], *[F.max(x).alias(f"hi_{x}") for x in at]))
+    place = [
+        F.floor((F.col(x) - ends[f"lo_{x}"]) / (ends[f"hi_{x}"] - ends[f"lo_{x}"]) * (CELLS - 1e-9)).alias(f"g_{x}")
+        for x in at
     ]
-    per_cell = pairs.select("deviance", *cells).groupBy(*[f"g{i}" for i in range(d)])
-    per_cell = per_cell.agg(
-        F.count("deviance").alias("n"), F.avg("deviance").alias("m"), F.var_pop("deviance").alias("v")
-    )
-    r = per_cell.agg(
-        F.sum(F.col("n") * F.col("v")).alias("within"),
-        F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("cells"),
-        F.sum(F.col("n") * F.col("m")).alias("sum"),
-        F.sum(F.col("n") * (F.col("v") + F.col("m") * F.col("m"))).alias("square"),
+    cells = sums.select("n", "m", "v", *place).groupBy(*[f"g_{x}" for x in at]).agg(*_pooled())
+    r = cells.agg(
+        F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") - 1).alias("free")
     ).first()
-    free = max(r["n"] - r["cells"], 1)
-    overall = (r["square"] - r["sum"] ** 2 / r["n"]) / (r["n"] - 1)
-    return (r["within"] / free) / overall, math.sqrt(2 / free)
+    free = max(r["free"], 1)
+    return r["within"] / free / overall, math.sqrt(2 / free)

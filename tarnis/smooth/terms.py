@@ -112,8 +112,7 @@ def marginal(frame: DataFrame, column: str, bs: str, k: int, ends, cache: dict):
             cache[key] = LineBasis()
         elif bs == "tp":
             distinct = frame.select(column).distinct().limit(CENTRES).count()
-            centres = covariate_points(frame, column, distinct) if distinct >= k else np.zeros(0)
-            cache[key] = ThinPlateBasis(centres, k)
+            cache[key] = ThinPlateBasis(covariate_points(frame, column, max(distinct, k)), k)
         elif bs in ("cr", "cc"):
             cache[key] = CubicBasis(covariate_points(frame, column, k, ends), cyclic=bs == "cc")
         else:

@@ -400,3 +400,41 @@ def test_reports(spark, correlated, data):
     table = compare_candidates(data, "gauss", {"one": terms[:1], "two": terms}, family="gaussian", select=False)
     values = {r.model: r.AIC for r in table.collect()}
     assert values["two"] < values["one"]
+
+
+@pytest.mark.parametrize("method", ["REML", "ML"])
+def test_smoothing_parameters_minimise_the_score(spark, data, method):
+    """No nearby choice of smoothing parameters has a better score than the one found."""
+    terms = [s("x", bs="cr"), te("year", "DOY", bs=("cr", "cc"), k=(4, 6), knots=DOY)]
+    m = gam(data, "gauss", terms, method=method)
+    for j in range(len(m.lam)):
+        for factor in (0.7, 1.4):
+            lam = m.lam.copy()
+            lam[j] *= factor
+            assert gam(data, "gauss", terms, method=method, lam=lam).working_score > m.working_score - 2e-3
+
+
+def test_basis_index_equals_neighbour_differences(spark):
+    """Without ties the index is the sum of squared neighbour differences over twice the variance."""
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.uniform(size=400))
+    y = np.sin(9 * x) + 0.2 * rng.normal(size=400)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y})).repartition(4)
+    m = gam(df, "y", [s("x", bs="cr", k=4)])
+    e = check.diagnostics(m, df).select("x", "deviance").toPandas().sort_values("x").deviance.to_numpy()
+    want = np.mean(np.diff(e) ** 2) / 2 / np.var(e, ddof=1)
+    assert check.k_check(m).first().k_index == pytest.approx(want, rel=1e-9)
+
+
+def test_basis_index_with_ties_is_the_mean_over_orders(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 5, 60).astype(float)
+    y = x + rng.normal(size=60)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    m = gam(df, "y", [s("x", bs="cr", k=3)])
+    r = check.diagnostics(m, df).select("x", "deviance").toPandas()
+    total = 0.0
+    for _ in range(4000):
+        e = r.sample(frac=1, random_state=rng.integers(1 << 31)).sort_values("x", kind="stable").deviance.to_numpy()
+        total += np.mean(np.diff(e) ** 2) / 2 / np.var(e, ddof=1)
+    assert check.k_check(m).first().k_index == pytest.approx(total / 4000, rel=0.01)
