@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from catalog.registry import query, rounded, table
 from tarnis.functions import columns as c
-from tarnis.operators import filters, frame, joins, reshape
+from tarnis.operators import filters, frame, joins, order, reshape
 from tarnis.session import scratch_path
 from tarnis.sources import files
 
@@ -280,6 +280,12 @@ def date_window(spark, d):
     return df.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT o_orderkey, o_orderdate::DATE AS date FROM orders ORDER BY date, o_orderkey")
+def sort_by_date(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
+    return order.sort_by_date(df, "date", "o_orderkey")
+
+
 # --- union and reshaping -----------------------------------------------------------------------
 
 

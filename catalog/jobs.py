@@ -243,5 +243,23 @@ def decadal_temperature(spark, d):
 def flow_source_regression(spark, d):
     flow = flows.daily_flow(raw_flow(spark, d), 1996, 2000)
     flow = flow.select(F.col("`SK05JG006.cms`").alias("QLD"), F.col("RC_IC_cms").alias("QWS"))
-    report = flow_sources.compare_sources(flow)
+    report = flow_sources.compare_sources(flow, reports=["coefficients"])
     return report["coefficients"].select("term", F.round("estimate", 6).alias("estimate"))
+
+
+@query(
+    f"""WITH f AS (SELECT "SK05JG006.cms" AS y, "RC_IC_cms" AS x FROM ({_DAILY_FLOW}) WHERE "SK05JG006.cms" IS NOT NULL)
+    SELECT 'correlation' AS report, round(corr(x, y), 6) AS a, CAST(NULL AS DOUBLE) AS b FROM f
+    UNION ALL SELECT 'quartiles', quantile_cont(x, 0.25), quantile_cont(x, 0.75) FROM f
+    UNION ALL SELECT 'fit', round(regr_r2(y, x), 6), count(*)::DOUBLE FROM f"""
+)
+def flow_source_report(spark, d):
+    flow = flows.daily_flow(raw_flow(spark, d), 1996, 2000)
+    flow = flow.select(F.col("`SK05JG006.cms`").alias("QLD"), F.col("RC_IC_cms").alias("QWS"))
+    made = flow_sources.compare_sources(flow, reports=["correlation", "quartiles", "fit"])
+    rows = [
+        made["correlation"].select(F.lit("correlation"), F.round("corr", 6), F.lit(None).cast("double")),
+        made["quartiles"].select(F.lit("quartiles"), "q1", "q3"),
+        made["fit"].select(F.lit("fit"), F.round("r2", 6), F.col("n").cast("double")),
+    ]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).toDF("report", "a", "b")

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query, rounded, table
-from tarnis.operators.reshape import bind_rows
 from tarnis.operators.series import correlogram
 from tarnis.plans import season
 from tarnis.smooth import check, gam, linear, re, s, te, ti
@@ -81,29 +80,6 @@ def gam_linear(spark, d):
     return rounded(model.coefficients().select("coefficient", "estimate"))
 
 
-_FAMILIES = ("gamma", "inverse_gaussian", "tweedie", "gaussian")
-
-
-@query(
-    "SELECT family, status, round(fitted, 6) AS fitted, n FROM (SELECT l_linestatus AS status, avg(l_quantity) AS fitted,"
-    f" count(*) AS n FROM lineitem GROUP BY 1), (SELECT unnest({list(_FAMILIES)}) AS family)"
-)
-def gam_group_means(spark, d):
-    """With one indicator and no penalty, every family's fit is the mean of each group."""
-    rows = table(spark, d, "lineitem")
-    indicator = linear("CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END")
-    out = []
-    for family in _FAMILIES:
-        model = gam(rows, "l_quantity", [indicator], family=family, power=1.4, lam=0.0)
-        made = model.predict(rows, scale="response", se=False)
-        out.append(
-            made.groupBy(F.lit(family).alias("family"), F.col("l_linestatus").alias("status")).agg(
-                F.avg("fit").alias("fitted"), F.count("fit").alias("n")
-            )
-        )
-    return rounded(bind_rows(*out))
-
-
 @query()
 def gam_gaussian(spark, d):
     return _fit_season(spark, d, "gaussian").summary()
