@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from tarnis.functions.columns import col
 from tarnis.operators.filters import complete_cases
 from tarnis.operators.regression import ols
 from tarnis.operators.summary import corr_matrix, density, summary_quartiles, threshold_group
+from tarnis.session import settle
 
 # Fixed value: flow in m3/s that separates low from high watershed flow.
 QWS_THRESHOLD = 0.2069
@@ -26,7 +28,8 @@ def compare_sources(
 ) -> dict[str, DataFrame]:
     """Regression of y on x, their correlation, quartiles of x, and the density of y on either
     side of a threshold of x."""
-    rows = complete_cases(complete_cases(df, [x]), [y])
+    # two columns, read several times below
+    rows = settle(complete_cases(complete_cases(df, [x]), [y]).select(col(x), col(y)), "flows")
     out = {}
     if {"coefficients", "fit", "residuals"} & set(reports):
         fit = ols(rows, y, [x])

@@ -16,6 +16,7 @@ from tarnis.operators.frame import one_row
 from tarnis.operators.order import over_neighbours, with_row_index
 from tarnis.operators.quantiles import group_quantiles
 from tarnis.operators.summary import histogram
+from tarnis.session import settle
 from tarnis.smooth.fit import (
     Pass,
     choose_smoothing,
@@ -112,7 +113,7 @@ def diagnostics(model: GamModel, df: DataFrame) -> DataFrame:
 
 def qq_points(model: GamModel, df: DataFrame, tie_breakers: Sequence[str] = ()) -> DataFrame:
     """(rank, sample, theoretical): ordered deviance residuals against normal quantiles."""
-    res = diagnostics(model, df).select(F.col("deviance").alias("sample"), *tie_breakers)
+    res = settle(diagnostics(model, df).select(F.col("deviance").alias("sample"), *tie_breakers), "residuals")
     ranked = with_row_index(res, ["sample", *tie_breakers], "rank")
     n = one_row(res.agg(F.count(F.lit(1)).alias("n")))["n"]
     p = (F.col("rank") + 0.5) / n
@@ -122,7 +123,8 @@ def qq_points(model: GamModel, df: DataFrame, tie_breakers: Sequence[str] = ())
 
 def residual_histogram(model: GamModel, df: DataFrame, method: str = "select") -> DataFrame:
     """Deviance residuals in bins of Freedman-Diaconis width, 2 IQR / n^(1/3)."""
-    res = diagnostics(model, df).select("deviance")
+    # read several times below
+    res = settle(diagnostics(model, df).select("deviance"), "residuals")
     q = group_quantiles(res, "deviance", [0.25, 0.75], names=["q1", "q3"], method=method).first()
     width = 2 * (q["q3"] - q["q1"]) * model.n ** (-1 / 3)
     return histogram(res, ["deviance"], width=width if width > 0 else None)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tarnis.operators.order import over_neighbours
 from tarnis.operators.series import innovations
+from tarnis.session import settle
 from tarnis.smooth.family import FAMILIES, Family, ScaledT, Tweedie
 from tarnis.smooth.model import GamModel
 from tarnis.smooth.sums import sum_over_rows
@@ -64,6 +65,7 @@ class Frame:
     response: str
     lags: int = 0
     compressed: bool = False  # fewer covariate combinations than rows
+    combos: int = 0  # covariate combinations, approximately
 
 
 def prepare(df: DataFrame, response: str, variables: list[str], family: Family, categories: set[str], ar: AR | None) -> Frame:
@@ -117,6 +119,8 @@ def prepare(df: DataFrame, response: str, variables: list[str], family: Family,
             F.avg("y").alias("ybar"),
             (F.var_pop("y") * F.count("y")).alias("m2"),
         )
+        # stored: a lost executor then costs a small read, not another scan of the readings
+        cells = settle(cells, "cells")
     else:
         cells = rows.select(*names, y.alias("ybar"), F.lit(1.0).alias("n"), F.lit(0.0).alias("m2"))
     # few large input splits would leave cores idle in every pass
@@ -126,7 +130,7 @@ def prepare(df: DataFrame, response: str, variables: list[str], family: Family,
     cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     return Frame(
         cells, rows, variables, stats["n"], stats["mean"], stats["var"] * stats["n"],
-        stats["total"], cells.rdd.getNumPartitions(), response, ar.p if ar else 0, compressed,
+        stats["total"], cells.rdd.getNumPartitions(), response, ar.p if ar else 0, compressed and not ar, stats["combos"],
     )
 
 

@@ -26,6 +26,9 @@ from tarnis.session import settle
 from tarnis.smooth.sums import sum_over_rows
 
 
+SMALL_SUPPORT = 1_000_000  # covariate combinations whose values fit into one task
+
+
 def _struct(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 
@@ -311,21 +314,30 @@ class GamModel:
 
     # --- derived reports ---
 
-    def _rows(self) -> DataFrame:
-        """Fitted rows under the names of their variables."""
+    def _support(self) -> DataFrame:
+        """Where the data lie: covariate combinations with their counts n, under the names of the
+        variables. One row per fitted row where combinations do not repeat."""
         names = {f"x{i}": v for i, v in enumerate(self.design.variables)}
-        return self.frame.rows.withColumnsRenamed(names)
+        if self.frame.compressed:
+            points = self.frame.cells.select(*names, "n")
+        else:
+            points = self.frame.rows.select(*names, F.lit(1.0).alias("n"))
+        return points.withColumnsRenamed(names)
 
     def _medians(self, variables: Sequence[str], out: DataFrame) -> DataFrame:
-        rows = self._rows()
+        points = self._support()
         for v in variables:
-            middle = one_row(group_quantiles(rows, F.col(f"`{v}`"), [0.5], names=["m"]))
-            out = out.withColumn(v, middle["m"])
+            x = F.col(f"`{v}`")
+            if self.frame.compressed and self.frame.combos <= SMALL_SUPPORT:
+                middle = points.agg(F.percentile(x, 0.5, F.col("n").cast("long")).alias("m"))
+            else:
+                middle = group_quantiles(self.frame.rows, f"x{self.design.variables.index(v)}", [0.5], names=["m"])
+            out = out.withColumn(v, one_row(middle)["m"])
         return out
 
     def line(self, variable: str, n: int = 200) -> DataFrame:
         """Grid along one variable between its extremes, the others held at their medians."""
-        points = grid(self._rows(), {variable: n})
+        points = grid(self._support(), {variable: n})
         others = [v for v in self.design.variables if v != variable]
         return self._medians(others, points)
 
@@ -361,7 +373,7 @@ class GamModel:
 
     def seasonal_curves(self, year: str = "year", doy: str = "DOY", years: tuple[int, int] | None = None, days: int = 365) -> DataFrame:
         """Seasonal curve of every year with its interval, on the response scale."""
-        rows = self._rows()
+        rows = self._support()
         if years:
             bounds = rows.agg(F.min(F.lit(years[0])).alias("lo"), F.max(F.lit(years[1])).alias("hi"))
         else:
@@ -380,13 +392,13 @@ class GamModel:
         observation is near."""
         sm = self.design.term(term)
         a, b = sm.term.variables
-        points = grid(self._rows(), {a: n, b: n})
+        points = grid(self._support(), {a: n, b: n})
         others = [v for v in self.design.variables if v not in (a, b)]
         # other variables do not enter this term
         points = points.withColumns({v: F.lit(0.0) for v in others})
         names = {c: c for c in self.design.variables}
         shown = self.predict_terms(points, term, names=names)
-        flagged = mask_far(shown, self._rows().select(a, b), (a, b), dist, (n, n))
+        flagged = mask_far(shown, self._support().select(F.col(f"`{a}`"), F.col(f"`{b}`")), (a, b), dist, (n, n))
         total = F.col("effect") + F.col("constant")
         value = F.exp(total) if self.family.log_link else total
         return flagged.withColumn("value", F.when(~F.col("too_far"), value)).drop(*others)
