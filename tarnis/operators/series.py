@@ -160,7 +160,7 @@ def correlogram(
                 starts = np.array([0])
             x = pdf["_x"].to_numpy()
             for s, e in zip(starts, [*starts[1:], len(pdf)]):
-                key = tuple(pdf[c].iloc[s] for c in keys)
+                key = tuple(None if pd.isna(v) else v for v in (pdf[c].iloc[s] for c in keys))
                 piece = _run(x[s:e], max_lag)
                 if run is not None and key == current:
                     run = _join_runs(run, piece, max_lag)
@@ -187,7 +187,7 @@ def correlogram(
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         run = None
         columns = ("_n", "_mean", "_products", "_head", "_tail")
-        for n, mean, *arrays in pdf.sort_values("_part")[list(columns)].itertuples(index=False):
+        for n, mean, *arrays in pdf.sort_values("_part", kind="stable")[list(columns)].itertuples(index=False):
             products, head, tail = (np.asarray(a, dtype=float) for a in arrays)
             piece = {"n": n, "mean": mean, "products": products, "head": head, "tail": tail}
             run = piece if run is None else _join_runs(run, piece, max_lag)

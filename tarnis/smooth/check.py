@@ -115,8 +115,7 @@ def qq_points(model: GamModel, df: DataFrame, tie_breakers: Sequence[str] = ())
     """(rank, sample, theoretical): ordered deviance residuals against normal quantiles."""
     res = settle(diagnostics(model, df).select(F.col("deviance").alias("sample"), *tie_breakers), "residuals")
     ranked = with_row_index(res, ["sample", *tie_breakers], "rank")
-    n = one_row(res.agg(F.count(F.lit(1)).alias("n")))["n"]
-    p = (F.col("rank") + 0.5) / n
+    p = (F.col("rank") + 0.5) / float(res.count())
     theoretical = normal_quantile(p) * float(np.sqrt(model.scale))
     return ranked.select("rank", "sample", theoretical.alias("theoretical"))
 

@@ -16,9 +16,11 @@ def spark():
         "tarnis-tests",
         "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
             # keep several partitions even for a few rows, so pieces really have to be combined
             "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            # tiny data: compiling generated code would take most of the time
+            "spark.sql.codegen.wholeStage": "false",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
             "spark.sql.execution.arrow.maxRecordsPerBatch": "500",

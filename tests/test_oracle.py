@@ -9,8 +9,10 @@ SQL = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
-def con(sf):
-    return oracle.connect(sf)
+def con(spark, sf):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    yield oracle.connect(sf)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
