@@ -8,6 +8,8 @@ from catalog.joins_series import phase_values
 from catalog.registry import query, rounded, table
 from tarnis.functions.columns import MONTHS
 from tarnis.plans import climate, flow_sources, flows, frames, lab, timeline
+from tarnis.session import scratch_path
+from tarnis.sources import files
 from tarnis.sources.phases import PDO_PHASES, phase_table
 
 # --- daily flow --------------------------------------------------------------------------------
@@ -19,7 +21,8 @@ _RAW_FLOW = """(SELECT l_shipdate::DATE AS date,
 
 
 def raw_flow(spark, d):
-    """Daily sums of the line items as a text flow file; one gauge has unreadable cells."""
+    """Daily sums of the line items, written as a text flow file and read back; one gauge has
+    unreadable cells."""
     q = F.col("l_quantity")
     when = {
         "SK05JG013.cms": F.col("l_returnflag") == "A",
@@ -33,9 +36,12 @@ def raw_flow(spark, d):
         *[F.sum(F.when(c, q).otherwise(0.0)).cast("string").alias(n) for n, c in when.items()]
     )
     text = F.when(F.dayofmonth("day") == 13, "oops").otherwise(F.col("`SK05JG006.cms`"))
-    return sums.withColumn("SK05JG006.cms", text).select(
+    rows = sums.withColumn("SK05JG006.cms", text).select(
         F.date_format("day", "M/d/yyyy").alias("date"), *[F.col(f"`{g}`") for g in flows.GAUGES]
     )
+    path = scratch_path(spark, "flow-csv")
+    files.write_table(rows, path, "csv")
+    return files.read_table(spark, path, flows.FLOW_SCHEMA)
 
 
 _DAILY_FLOW = f"""SELECT CAST(year(date) AS INTEGER) AS year, CAST(dayofyear(date) AS INTEGER) AS "DOY", date, a AS "SK05JG013.cms",
