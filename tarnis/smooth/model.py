@@ -219,13 +219,16 @@ class GamModel:
 
         return run(F.struct(*self._covariates(names)))
 
-    def _with_values(self, df: DataFrame, make, fields: Sequence[str], names=None, grid=None) -> DataFrame:
+    def _with_values(
+        self, df: DataFrame, make, fields: Sequence[str], names=None, grid=None, combos: DataFrame | None = None
+    ) -> DataFrame:
         """Add `make(values)` as the struct column _p.
 
         Where the covariates of the fit repeat (year and day of year, say), the basis is evaluated
         once per combination and joined back, so the rows themselves never leave the JVM; the
         combinations are stored first and broadcast when they are few. Otherwise, and on grids (by
-        default where `names` gives ready columns), it is evaluated row by row in batches.
+        default where `names` gives ready columns), it is evaluated row by row in batches. `combos`
+        holds the combinations (as x0, x1, ...) where they are already known.
         """
         on_grid = names is not None if grid is None else grid
         if on_grid or not self.frame.compressed:
@@ -233,7 +236,10 @@ class GamModel:
         keys = [f"_x{i}" for i in range(len(self.design.variables))]
         tagged = df.withColumns(dict(zip(keys, self._covariates(names))))
         ready = dict(zip(self.design.variables, keys))
-        combos = tagged.select(*keys).distinct()
+        if combos is None:
+            combos = tagged.select(*keys).distinct()
+        else:
+            combos = combos.select(*[F.col(k[1:]).alias(k) for k in keys])
         values = settle(combos.select(*keys, self._evaluate(make, fields, ready).alias("_p")), "values")
         values = values.withColumnsRenamed({k: f"{k}r" for k in keys})
         same = [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in keys]
@@ -296,7 +302,9 @@ class GamModel:
         """The rows of the fit (y, x0, x1, ... as evaluated then) with their residuals."""
         names = {v: f"x{i}" for i, v in enumerate(self.design.variables)}
         rows = self.frame.rows.select("y", *names.values())
-        return self._add_residuals(self._with_values(rows, self._link(), ["fit", "se"], names, grid=False), F.col("y"))
+        combos = self.frame.cells if self.frame.compressed else None
+        out = self._with_values(rows, self._link(), ["fit", "se"], names, grid=False, combos=combos)
+        return self._add_residuals(out, F.col("y"))
 
     def _add_residuals(self, df: DataFrame, y: Column) -> DataFrame:
         eta = F.col("_p.fit")
