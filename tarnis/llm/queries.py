@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnis.llm import bpe, decontaminate, licenses, pseudonyms, quality, simhash, token_counts
+from tarnis.llm import bpe, decontaminate, licenses, pseudonyms, quality, repeats, simhash, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,6 +17,8 @@ SQL: dict[str, str] = {}
 #: The key of pseudonyms is a setting of the session; the fallback serves tests only.
 KEY_CONF = "spark.tarnis.pseudonym.key"
 TOKENIZER = "word_bpe_49k.json"
+#: The table of pages doesn't tell when they were fetched.
+FETCHED = "2024-01-01T00:00:00Z"
 
 
 def query(f):
@@ -44,6 +46,11 @@ def encoded(docs: DataFrame) -> DataFrame:
     )
 
 
+@query
+def op1_warc_derivatives(spark: SparkSession, d: str) -> DataFrame:
+    return warc.derivatives(warc.as_responses(table(spark, d, "pages"), FETCHED), key="page_id")
+
+
 @query
 def op2_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return licenses.scan(table(spark, d, "documents"))
@@ -54,6 +61,11 @@ def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
+@query
+def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op5_template_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
@@ -68,6 +80,13 @@ def op6_quality_ledger(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", *base, failed.alias("base_failed"), "kept", "failures", *rest)
 
 
+@query
+def op7_repeated_strings(spark: SparkSession, d: str) -> DataFrame:
+    rows = repeats.repeats(table(spark, d, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "spans")
+
+
 @query
 def op8_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
