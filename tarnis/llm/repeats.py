@@ -34,7 +34,7 @@ LENGTH, GRAM = 100, 32
 #: Starts of a block that is dealt out together.
 BLOCK = 16
 #: Bytes worked on at once, and fragments gathered before a task settles its own repeats.
-SEGMENT, GATHERED = 1 << 21, 1 << 19
+SEGMENT, GATHERED = 1 << 20, 1 << 19
 #: Text bytes for which there is a bucket.
 BUCKET = 1 << 24
 
