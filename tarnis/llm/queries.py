@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnis.llm import sql as texts
 from tarnis.llm import bpe, decontaminate, licenses, pseudonyms, quality, repeats, simhash, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_license_scan": texts.LICENSES, "op6_quality_ledger": texts.QUALITY}
 
 #: The key of pseudonyms is a setting of the session; the fallback serves tests only.
 KEY_CONF = "spark.tarnis.pseudonym.key"

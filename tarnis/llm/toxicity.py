@@ -132,7 +132,8 @@ def mine(docs: DataFrame, labels: DataFrame) -> dict[str, int]:
                     yield rows()
         yield rows()
 
-    held = docs.join(labels, "doc_id").select("text", "toxic")
+    # labels grow with the documents, so they are never broadcast
+    held = docs.join(labels.hint("merge"), "doc_id").select("text", "toxic")
     sums = held.mapInArrow(run, "item string, n_toxic long, n_clean long, spread long").groupBy("item")
     sums = settle(sums.agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"), F.bit_or("spread").alias("spread")).where("n_toxic > 0"), "items")
     total = sums.where("item = ''").first()
