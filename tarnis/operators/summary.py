@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnis.functions.columns import col, label_if, strict_mean
+from tarnis.functions.columns import col, label_if, nan_to_null, strict_mean
 from tarnis.operators.frame import one_row
 from tarnis.operators.quantiles import group_quantiles
 
@@ -23,8 +23,8 @@ def _attach(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def summary6(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "select") -> DataFrame:
-    """mean, median, sd, min, max and the number of rows (rows without a value count too)."""
-    x = col(value)
+    """mean, median, sd, min, max and the number of rows (rows without a value count too). NaN is no value."""
+    x = nan_to_null(value)
     basic = df.groupBy(*by).agg(
         F.avg(x).alias("mean"),
         F.stddev_samp(x).alias("sd"),
@@ -37,8 +37,8 @@ def summary6(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "s
 
 
 def annual_summary(df: DataFrame, value: str, date: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean, max and min per year in one aggregate; rows without a value are left out first."""
-    x = col(value)
+    """Mean, max and min per year in one aggregate; rows without a value (NULL or NaN) are left out first."""
+    x = nan_to_null(value)
     present = df.where(x.isNotNull())
     return present.groupBy(*by, F.year(col(date)).alias("year")).agg(
         F.avg(x).alias("mean"), F.max(x).alias("max"), F.min(x).alias("min")
@@ -168,8 +168,8 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30, width: float |
         F.array(*[F.struct(F.lit(c).alias("variable"), col(c).cast("double").alias("x")) for c in cols])
     )
     stats = df.agg(
-        *[F.min(col(c).cast("double")).alias(f"_lo{i}") for i, c in enumerate(cols)],
-        *[F.max(col(c).cast("double")).alias(f"_hi{i}") for i, c in enumerate(cols)],
+        *[F.min(nan_to_null(col(c).cast("double"))).alias(f"_lo{i}") for i, c in enumerate(cols)],
+        *[F.max(nan_to_null(col(c).cast("double"))).alias(f"_hi{i}") for i, c in enumerate(cols)],
     )
     s = one_row(stats)
     by_name = lambda prefix: F.create_map(

@@ -64,7 +64,7 @@ def compare_candidates(df: DataFrame, response: str, candidates: Mapping[str, Se
     """Fit each candidate to the rows where all their covariates are known, and compare."""
     variables = sorted({v for terms in candidates.values() for t in terms for v in t.variables})
     for v in [response, *variables]:
-        df = df.where(F.expr(v).isNotNull())
+        df = df.where(F.expr(v).isNotNull() & ~F.coalesce(F.isnan(F.expr(v).try_cast("double")), F.lit(False)))
     models = {name: fit_predictors(df, response, terms, **options) for name, terms in candidates.items()}
     return compare(models, criterion)
 

@@ -423,7 +423,8 @@ def gam(
             settings["nu"] = 5.0 if estimate_nu else float(nu)
         family = FAMILIES[family](**settings)
     if na == "fail":
-        wanted = [F.expr(v).isNull() for v in [response, *variables]]
+        # NaN is missing too; text has none
+        wanted = [F.expr(v).isNull() | F.isnan(F.expr(v).try_cast("double")) for v in [response, *variables]]
         missing = wanted[0]
         for w in wanted[1:]:
             missing = missing | w

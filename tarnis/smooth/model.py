@@ -113,8 +113,9 @@ class GamModel:
 
     @cached_property
     def loglik(self) -> float:
-        """Log-likelihood; with AR errors, that of the whitened working model."""
-        if self.ar is not None and self.frame.lags:
+        """Log-likelihood; with AR errors, of whatever order, that of the whitened working model, so that orders
+        (0 among them) can be compared."""
+        if self.ar is not None:
             return self.working_loglik
         return float(self.family.loglik(self))
 
@@ -333,9 +334,15 @@ class GamModel:
         return points.withColumnsRenamed(names)
 
     def _medians(self, variables: Sequence[str], out: DataFrame) -> DataFrame:
+        """Adds the covariates at their medians; a category at its most frequent level (of equals, the first)."""
         points = self._support()
+        kinds = dict(points.dtypes)
         for v in variables:
             x = F.col(f"`{v}`")
+            if kinds[v] == "string":
+                levels = points.groupBy(x.alias("m")).agg(F.sum("n").alias("n"))
+                out = out.withColumn(v, one_row(levels.agg(F.min_by("m", F.struct(-F.col("n"), F.col("m"))).alias("m")))["m"])
+                continue
             if self.frame.compressed and self.frame.combos <= SMALL_SUPPORT:
                 middle = points.agg(F.percentile(x, 0.5, F.col("n").cast("long")).alias("m"))
             else:
