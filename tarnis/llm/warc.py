@@ -41,11 +41,11 @@ _MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<skip>{_SKIP})\b[^>]*+>.*?(?:</(?P
 _TITLE = re.compile(r"<title\b[^>]*+>(.*?)</title\s*+>", re.S | re.I)
 _LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
 _META_CHARSET = re.compile(rb"""<meta\b[^>]*?charset\s*=\s*["']?([A-Za-z0-9_:-]+)""", re.I)
-_ELEMENT = re.compile(_TAG)
 _ADDRESS = re.compile(r"""(?<![\w-])(href|src|action)\s*=\s*(?:"([^"<]*+)"|'([^'<]*+)'|([^\s"'<>]++))""", re.I)
 LINKING = {"a": "href", "area": "href", "link": "href", "img": "src", "iframe": "src", "script": "src", "form": "action"}
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _SCRIPT = re.compile(r"(<(script|style)\b[^>]*+>).*?(</\2\s*+>|\Z)", re.S | re.I)
+_ELEMENT = re.compile(_TAG.replace("(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)", f"(?P<name>{'|'.join(LINKING)})(?![a-zA-Z0-9:-])"), re.I)
 _BLANK = re.compile(r"[^\S\n]+")
 
 
@@ -138,7 +138,7 @@ def links(page: str, base: str) -> list[str]:
     seen: dict[str, None] = {}
     for m in _ELEMENT.finditer(_SCRIPT.sub(r"\1\3", _COMMENT.sub("", page))):
         name = m["name"].lower()
-        found = None if m["close"] or name not in LINKING else _ADDRESS.search(m["rest"])
+        found = _ADDRESS.search(m["rest"])
         if not found or found[1].lower() != LINKING[name]:
             continue
         target = html.unescape(next(x for x in found.groups()[1:] if x is not None)).strip()
@@ -165,7 +165,8 @@ def derive(record_id: str | None, uri: str | None, date: str | None, block: byte
     is_html = "html" in kind.lower() or (not kind and "<" in page[:1000])
     own = digest(body)
     record_id = record_id or identifier("response", uri, date or "", own)
-    title = _one_line(html.unescape(_TITLE.search(page)[1])) if is_html and _TITLE.search(page) else ""
+    titled = _TITLE.search(page) if is_html else None
+    title = _one_line(html.unescape(titled[1])) if titled else ""
     lang = _LANG.search(page) if is_html else None
     fields = [("source-status", status), *(("source-header", f"{k}: {v}") for k, v in headers), ("source-payload-digest", own), ("charset", charset), ("title", title), ("language", lang[1] if lang else "")]
     fields += [("outlink", x) for x in (links(page, uri) if is_html else [])]
