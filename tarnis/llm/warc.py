@@ -34,6 +34,8 @@ LINES = (
     "title tr ul"
 ).split()
 CELLS = ("td", "th")
+#: What stands for an element in the text.
+_PUT = dict.fromkeys(LINES, "\n") | dict.fromkeys(CELLS, " ")
 _SKIP = "|".join(SKIPPED.split())
 #: A quoted value ends at its quote; one that runs into another tag is no value.
 _TAG = r"""<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>"""
@@ -46,7 +48,10 @@ LINKING = {"a": "href", "area": "href", "link": "href", "img": "src", "iframe":
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _SCRIPT = re.compile(r"(<(script|style)\b[^>]*+>).*?(</\2\s*+>|\Z)", re.S | re.I)
 _ELEMENT = re.compile(_TAG.replace("(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)", f"(?P<name>{'|'.join(LINKING)})(?![a-zA-Z0-9:-])"), re.I)
-_BLANK = re.compile(r"[^\S\n]+")
+#: Addresses that urljoin would leave as they are, and paths that it would only put behind the host.
+_WHOLE = re.compile(r"https?://[a-z0-9.-]+(?:/[\w-]+(?:\.\w[\w-]*)*)*/?", re.A)
+_PATH = re.compile(r"(?:/[\w-]+(?:\.\w[\w-]*)*)+/?|/", re.A)
+_HOST = re.compile(r"(https?://[a-z0-9.-]+)(?:[/?#]|\Z)")
 
 
 def digest(data: bytes) -> str:
@@ -122,20 +127,32 @@ def plain_text(page: str) -> str:
     """The page's text: no markup, comments or scripts; a line for each block; blanks within a line folded."""
 
     def put(m: re.Match) -> str:
-        name = (m["name"] or "").lower()
-        if name in CELLS:
-            return " "
-        return "\n" if name in LINES or m["skip"] else ""
+        name = m["name"]
+        if name:
+            return _PUT.get(name.lower(), "")
+        return "\n" if m["skip"] else ""
 
     # white space of the source is one blank, lines come from elements alone
-    text = html.unescape(_MARKUP.sub(put, re.sub(r"\s+", " ", page)))
-    lines = (_BLANK.sub(" ", line).strip() for line in text.split("\n"))
+    text = html.unescape(_MARKUP.sub(put, " ".join(page.split())))
+    lines = (" ".join(line.split()) for line in text.split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def _absolute(base: str, host: str | None, target: str) -> str:
+    if _WHOLE.fullmatch(target):
+        return target
+    if host and _PATH.fullmatch(target):
+        return host + target
+    try:
+        return urljoin(base, target)
+    except ValueError:
+        return target
+
+
 def links(page: str, base: str) -> list[str]:
     """Addresses that the page links to, absolute where the base allows, in order, each once, with their element."""
     seen: dict[str, None] = {}
+    host = found[1] if (found := _HOST.match(base)) else None
     for m in _ELEMENT.finditer(_SCRIPT.sub(r"\1\3", _COMMENT.sub("", page))):
         name = m["name"].lower()
         found = _ADDRESS.search(m["rest"])
@@ -143,11 +160,7 @@ def links(page: str, base: str) -> list[str]:
             continue
         target = html.unescape(next(x for x in found.groups()[1:] if x is not None)).strip()
         if target and not target.startswith(("#", "javascript:", "data:")):
-            try:
-                target = urljoin(base, target)
-            except ValueError:
-                pass
-            seen[f"{re.sub(r'[\s]', '', target)} {name}/@{found[1].lower()}"] = None
+            seen[f"{''.join(_absolute(base, host, target).split())} {name}/@{found[1].lower()}"] = None
     return list(seen)
 
 
