@@ -17,8 +17,8 @@ from tarnis.llm.pretokens import Index, Vocabulary, load
 
 #: Pre-tokens remembered between batches of a task.
 REMEMBERED = 200_000
-#: Rows of a result batch; ids and decoded text are longer than the text.
-ROWS = 1_000
+#: Rows of a result batch; ids and decoded text are longer than the text, and both steps run in one task.
+ROWS = 250
 
 
 class Merges:
@@ -159,12 +159,13 @@ def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", name: str = "d
             if strings is None:
                 known = load(tokenizer).strings
                 strings = np.array(known, dtype=object)
-            column = batch.column(batch.num_columns - 1)
-            texts = []
-            for ids in column:
-                own = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid and len(ids) else np.zeros(0, np.int32)
-                own = own[(own >= 0) & (own < len(strings))]
-                texts.append(" ".join(strings[own].tolist()))
-            yield pa.record_batch([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], name])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = []
+                for ids in part.column(part.num_columns - 1):
+                    own = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid and len(ids) else np.zeros(0, np.int32)
+                    own = own[(own >= 0) & (own < len(strings))]
+                    texts.append(" ".join(strings[own].tolist()))
+                yield pa.record_batch([*part.columns[:-1], pa.array(texts, pa.string())], names=[*part.schema.names[:-1], name])
 
     return rows.withColumn(key, F.col(f"`{ids_col}`")).mapInArrow(run, schema)
