@@ -120,12 +120,12 @@ DAY_ONE, DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime
 
 #: Candidates by kind, in the order in which they are tried at a place.
 PATTERNS = {
-    "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z])(?:password|passwd|secret|api_key|token) ?[=:] ?[\"']?(?=[A-Za-z]*\d)[A-Za-z0-9]{8,128}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z])(?i:password|passwd|secret|api_key|token) ?[=:] ?[\"']?(?=[A-Za-z]*\d)[A-Za-z0-9]{8,128}(?![A-Za-z0-9])",
     "email": r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)\d{4})(?![\w]|[./-]\d)",
-    "phone": r"(?<![\w+])(?:\+1[ .-]?(?:\([2-9]\d{2}\)|[2-9]\d{2})[ .-]?[2-9]\d{2}[ .-]?\d{4}|\([2-9]\d{2}\) ?[2-9]\d{2}-\d{4}|[2-9]\d{2}-[2-9]\d{2}-\d{4}|\+[2-9]\d{1,2}(?:[ .-]?\(?\d{1,4}\)?){2,5})(?!\w)",
+    "phone": r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}-\d{4}|[2-9]\d{2}-[2-9]\d{2}-\d{4}|\+[2-9]\d{1,2}(?:[ .-]?\(?\d{1,4}\)?){2,5})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<wide>[ -])\d{6}(?P=wide)\d{5})(?!\w|-\d)",
 }
@@ -214,8 +214,10 @@ class Pseudonyms:
             if not 8 <= len(digits) <= 15:
                 return None
         else:
+            # a country code or parentheses mark any number; area and exchange that begin with 0 or 1 stay so
             fixed, rest = digits[:-10], digits[-10:]
-            valid = lambda r: r // 10**9 >= 2 and r // 10**6 % 10 >= 2
+            form = lambda r: (r // 10**9 >= 2, r // 10**6 % 10 >= 2)
+            valid = lambda r, own=form(int(rest)): form(r) == own
         new = self._move(f"phone{fixed}", int(rest), 10 ** len(rest), valid)
         return _fill(text, fixed + str(new).zfill(len(rest)))
 

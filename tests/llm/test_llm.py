@@ -415,6 +415,20 @@ def test_what_does_not_validate_stays():
     assert pseudonyms.Pseudonyms(b"k").replace(ORDINARY) == (ORDINARY, [])
 
 
+def test_every_marked_number_and_key_changes(spark):
+    """Any area code behind a country code or in parentheses, keys behind words in any case; all of the tables."""
+    odd = ["+1 (017) 555-7713", "+1 132-555-1352", "(171) 055-2028", 'TOKEN = "9233A8ECF7C5B09F"', "Password: b7db7aa4a5fcc78305"]
+    planted = re.compile(r"\+1 \(\d{3}\) \d{3}-\d{4}|(?i:password|passwd|secret|api_key|token) ?[=:] ?[\"']?(?=[A-Za-z]*\d)[A-Za-z0-9]{8,128}\b|\bAKIA[A-Z0-9]{16}\b", re.ASCII)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.col("text").rlike(planted.pattern))
+    texts = [f"see {x} there" for x in odd] + [r.text for r in docs.collect()]
+    assert len(texts) > 200
+    make, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", back=True)
+    for text in texts:
+        new, _ = make.replace(text)
+        assert all(x not in new for x in odd + planted.findall(text))
+        assert back.replace(new)[0] == text
+
+
 def test_pseudonyms_of_awkward_rows(spark, awkward, empty):
     more = awkward.unionByName(spark.createDataFrame([(50, PERSONAL, *["x"] * 4), (51, "see " + PERSONAL, *["x"] * 4)], SCHEMA))
     rows = pseudonyms.pseudonymise(more, b"k")
