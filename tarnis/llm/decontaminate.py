@@ -4,6 +4,9 @@ Numbers, names and units are replaced by typed placeholders, and windows of the
 those of the benchmark. Matches on one alignment must fill the slots consistently: a value of the question that stands
 in several slots must have become one value in the document. So a question with other numbers or names is found too,
 while windows that merely look alike are not.
+
+Windows with too few words for a template are compared by their own values and signs instead, so every item that has
+a letter or a digit has a window. In scripts without spaces between words each character is a token.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from tarnis.session import settle
 
 #: Tokens of a window, and how many of them must be words and not placeholders.
 WINDOW, LITERAL = 8, 4
-#: Items with fewer tokens than this match nothing; items below a window are one window of their own length.
+#: Items below a window are one window of their own length. Those with fewer tokens than this match only a sentence or
+#: line of their own.
 SHORTEST = 3
 #: Share of an item's tokens that matched windows must cover.
 COVERAGE = 0.5
@@ -47,8 +51,14 @@ olivia emma noah liam mia ella leo alex ali ahmed fatima omar raj priya wei ming
 pierre marie hans greta ivan olga""".split()
 
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
+#: Forms of a window: names kept as words, names as slots, all values kept. A key begins with its form.
+PLAIN, TYPED, EXACT = "f", "t", "e"
 MARK = {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}
 _PUNCTUATION = re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in ((0xA0, 0xBF), (0x2010, 0x206F), (0x3000, 0x303F))) + "]")
+#: Scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))) + "]")
+#: What may stand between the tokens of an exact window and tells nothing; other signs are part of it.
+_FILLER = re.compile(rb"[\s.,;:!?\"'`]+")
 
 _CLASS = np.zeros(256, np.uint8)  # 0 break, 1 letter, 2 digit
 _CLASS[ord("0") : ord("9") + 1] = 2
@@ -83,10 +93,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """The tokens of several texts: runs of letters or of a number; A-Z count as a-z."""
+    """The tokens of several texts: runs of letters or of a number, or characters of a script without spaces; A-Z count
+    as a-z."""
 
     def __init__(self, texts: list[str]):
-        clean = [t if t.isascii() else _PUNCTUATION.sub(" ", t) for t in texts]
+        clean = [t if t.isascii() else _UNSPACED.sub(r" \g<0> ", _PUNCTUATION.sub(" ", t)) for t in texts]
         raw = [t.encode("utf-8", "surrogatepass") for t in clean]
         self.data = b"\n".join(raw) + b"\n"
         self.offsets = np.cumsum([0, *(len(r) + 1 for r in raw)])
@@ -122,34 +133,69 @@ class Tokens:
         self.first = np.searchsorted(self.text, np.arange(len(texts)))
         self.count = np.bincount(self.text, minlength=len(texts)) if len(self.text) else np.zeros(len(texts), int)
 
-    def windows(self, length: int, typed: bool) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens of the windows with enough literal words, and their hashes."""
+    def windows(self, length: int, form: str) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens of the windows of a form, and their hashes: templates with enough literal words, or else exact."""
+        typed = form == TYPED
         kind = self.typed if typed else self.kind
         n = len(kind) - length + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        literal = np.concatenate(([0], np.cumsum(kind == WORD)))
+        fits = literal[length:] - literal[:n] >= min(LITERAL, length - 1)
+        if length < SHORTEST:
+            fits[:] = False
+        whole = self.text[:n] == self.text[length - 1 :]
+        if form == EXACT:
+            at = np.flatnonzero(~fits & whole)
+            total = np.full(len(at), length + 2000, np.uint64)
+            for j in range(length):
+                total = total * np.uint64(_BASE) + self.hash[at + j]
+            return at, _mix(total)
+        fits &= whole
         one = np.where(kind == WORD, self.hash, _mix(kind.astype(np.uint64) + np.uint64(11)))
         total = np.full(n, length + (1000 if typed else 0), np.uint64)
         for j in range(length):
             total = total * np.uint64(_BASE) + one[j : j + n]
-        literal = np.concatenate(([0], np.cumsum(kind == WORD)))
-        fits = (literal[length:] - literal[:n] >= min(LITERAL, length - 1)) & (self.text[:n] == self.text[length - 1 :])
         if typed:  # without a name in it, the window is the other form's
             names = np.concatenate(([0], np.cumsum(kind == NAME)))
             fits &= names[length:] - names[:n] > 0
         at = np.flatnonzero(fits)
         return at, _mix(total[at])
 
-    def template(self, at: int, length: int, typed: bool) -> tuple[str, list[str]]:
+    def apart(self, at: int, length: int) -> bool:
+        """Whether a whole item that stands here tells enough: one or two tokens as a sentence or line of their own,
+        values without a word not as a part of a longer row of values."""
+        end, sides = at + length, []
+        for i, other in ((at, at - 1), (end, end)):
+            if 0 < i < len(self.text) and self.text[i] == self.text[i - 1]:
+                sides.append((self.data[self.ends[i - 1] : self.starts[i]], self.kind[other] != WORD))
+        if length < SHORTEST:
+            return all(any(_STOP[c] for c in between) for between, _ in sides)
+        if (self.kind[at:end] == WORD).any():
+            return True
+        return not any(value and not between.strip(b" \t,") for between, value in sides)
+
+    def exact(self, at: int, length: int) -> tuple[str, list[str]]:
+        """The window with its values and the signs between them; no slots."""
+        out = []
+        for i in range(at, at + length):
+            if i > at:
+                out.append(_FILLER.sub(b"", self.data[self.ends[i - 1] : self.starts[i]]).decode("utf-8", "replace"))
+            out.append(self.data[self.starts[i] : self.ends[i]].lower().decode("utf-8", "replace"))
+        return f"{EXACT} " + " ".join(out), []
+
+    def template(self, at: int, length: int, form: str) -> tuple[str, list[str]]:
         """The window in words, and what stands in its slots."""
-        kind = self.typed if typed else self.kind
+        if form == EXACT:
+            return self.exact(at, length)
+        kind = self.typed if form == TYPED else self.kind
         words, slots = [], []
         for i in range(at, at + length):
             own = self.data[self.starts[i] : self.ends[i]].lower().decode("utf-8", "replace")
             words.append(MARK.get(int(kind[i]), own))
             if kind[i] != WORD:
                 slots.append(own)
-        return ("t " if typed else "f ") + " ".join(words), slots
+        return f"{form} " + " ".join(words), slots
 
 
 def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -174,11 +220,11 @@ def _table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def _emit(batch: pa.RecordBatch, a: int, tokens: Tokens, found: list[tuple[np.ndarray, np.ndarray, int, bool]]) -> pa.RecordBatch:
+def _emit(batch: pa.RecordBatch, a: int, tokens: Tokens, found: list[tuple[np.ndarray, np.ndarray, int, str]]) -> pa.RecordBatch:
     columns: list[list] = [[] for _ in range(6)]
-    for at, hashes, length, typed in found:
+    for at, hashes, length, form in found:
         rows = tokens.text[at]
-        templates = [tokens.template(int(i), length, typed) for i in at]
+        templates = [tokens.template(int(i), length, form) for i in at]
         made = ((rows + a).tolist(), tokens.count[rows].tolist(), (at - tokens.first[rows]).tolist(), [length] * len(at), templates, hashes.view(np.int64).tolist())
         for column, values in zip(columns, made, strict=True):
             column += values
@@ -191,7 +237,7 @@ def _emit(batch: pa.RecordBatch, a: int, tokens: Tokens, found: list[tuple[np.nd
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """All template windows of the items, in both forms: with names replaced, and with their words kept."""
+    """All windows of the items: templates with names replaced, and with their words kept; exact where words are few."""
 
     def run(batches):
         for batch in batches:
@@ -199,8 +245,8 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
             for i, text in enumerate(texts):
                 tokens = Tokens([text])
                 length = min(window, len(tokens.starts))
-                if length >= SHORTEST:
-                    yield _emit(batch, i, tokens, [(*tokens.windows(length, typed), length, typed) for typed in (False, True)])
+                if length:
+                    yield _emit(batch, i, tokens, [(*tokens.windows(length, form), length, form) for form in (PLAIN, TYPED, EXACT)])
 
     return _table(benchmark, id_col, text_col).mapInArrow(run, _WINDOWS)
 
@@ -229,8 +275,8 @@ def _filter(windows: DataFrame, size: int) -> bytes:
     return bytes(windows.select("hash").mapInArrow(fill, "bits binary").repartition(1).mapInArrow(join, "bits binary").first()[0])
 
 
-def corpus_windows(docs: DataFrame, bits: bytes, lengths: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The windows of the corpus that pass the filter."""
+def corpus_windows(docs: DataFrame, bits: bytes, kinds: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The windows of the corpus, of some lengths and forms, that pass the filter."""
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -239,12 +285,13 @@ def corpus_windows(docs: DataFrame, bits: bytes, lengths: list[int], id_col: str
             texts = batch.column(2).to_pylist()
             for a, b in pieces(texts):
                 tokens, found = Tokens(texts[a:b]), []
-                for length in lengths:
-                    for typed in (False, True):
-                        at, hashes = tokens.windows(length, typed)
-                        one, two = _bits(hashes, len(known))
-                        hit = known[one] & known[two]
-                        found.append((at[hit], hashes[hit], length, typed))
+                for length, form in kinds:
+                    at, hashes = tokens.windows(length, form)
+                    one, two = _bits(hashes, len(known))
+                    hit = np.flatnonzero(known[one] & known[two])
+                    if form == EXACT and length < window:
+                        hit = np.array([i for i in hit if tokens.apart(int(at[i]), length)], np.int64)
+                    found.append((at[hit], hashes[hit], length, form))
                 if any(len(x[0]) for x in found):
                     yield _emit(batch, a, tokens, found)
 
@@ -259,12 +306,13 @@ def contaminated(
 
     Returns doc_id, text_hash (of the document's text, so that repeated or null ids stay apart by text), item_id,
     n_item_tokens, n_covered (of them, by matched windows of consistent alignments), coverage, same_values (whether
-    all slots hold the item's own values). Null and empty texts match nothing, nor do items under three tokens.
-    Identical rows count as one document. Texts are searched whole; other columns are ignored.
+    all slots hold the item's own values). Null and empty texts match nothing. Windows of few words match with their own
+    values only; items of one or two tokens only as a sentence or line of their own, and items below a window that have
+    no word not within a longer row of values. Identical rows count as one document. Texts are searched whole; other columns are ignored.
     """
     items = settle(benchmark_windows(benchmark, item_col, item_text_col, window), "benchmark-windows")
-    lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most `window` values
-    found = corpus_windows(docs, _filter(items, FILTER_BITS), lengths, id_col, text_col)
+    kinds = sorted(tuple(r) for r in items.select("length", F.substring("key", 1, 1)).distinct().collect())  # at most `window` lengths
+    found = corpus_windows(docs, _filter(items, FILTER_BITS), kinds, id_col, text_col, window)
     theirs = items.select("key", F.col("id").alias("item_id"), F.col("n_tokens").alias("n_item_tokens"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     joined = found.select("id", "mark", "pos", "length", "key", "slots").join(theirs, "key")
     # one alignment: the windows of a document that stand at the same distance from the item's

@@ -355,6 +355,25 @@ def test_questions_with_other_values(spark, benchmark, text, items, same):
     assert all(r.same_values == same and r.coverage >= 0.5 for r in rows)
 
 
+@pytest.mark.parametrize(
+    ("item", "holds", "others"),
+    [
+        ("What is 12 + 7?", ["so what is 12 + 7? It is", "What is 12+7"], ["what is 12 - 7?", "what is 13 + 7?", "12 + 7"]),
+        ("What is 15 percent of 80?", ["say: what is 15 percent of 80 now"], ["what is 15 percent of 81"]),
+        ("12 + 7 = 19", ["we know 12 + 7 = 19 well", "3. 12 + 7 = 19"], ["12 + 7 = 18", "5 12 + 7 = 19"]),
+        (" ".join(f"{i} + {i + 1} = {2 * i + 1}" for i in range(9)), ["x " + " ".join(f"{i} + {i + 1} = {2 * i + 1}" for i in range(9)) + " y"], ["1 + 2 = 3"]),
+        ("6 * 7?", ["Well. 6 * 7? Yes"], ["6 * 7 * 8", "6 + 7?", "of 6 * 7 men"]),
+        ("Paris", ["Where? Paris."], ["Paris is a town"]),
+        ("小明有五个苹果他吃了两个还剩几个", ["问题：小明有五个苹果他吃了两个还剩几个？答"], ["小红没有苹果"]),
+    ],
+)
+def test_items_of_few_words(spark, item, holds, others):
+    """Items short of words are found as they are, whatever their length and script, and not by a part or other values."""
+    docs = spark.createDataFrame([*enumerate([*holds, *others]), (99, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(docs, items).collect()} == set(range(len(holds)))
+
+
 def test_decontamination_of_awkward_rows(spark, awkward, empty, benchmark):
     docs = awkward.unionByName(spark.createDataFrame([(None, QUESTION, *["x"] * 4), (3, QUESTION, *["x"] * 4)], SCHEMA))
     left = decontaminate.drop_contaminated(docs, benchmark)
