@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 ROWS = 200
 CRLF = "\r\n"
 
-#: Elements whose content is no text, and those that end a line.
-SKIPPED = "script style noscript template iframe object svg math head"
+#: Elements whose content is no text, and those that end a line. A head has no text of its own: what stands
+#: in it beside a title, styles and scripts ends it, with or without its end tag.
+SKIPPED = "script style noscript template iframe object svg math title"
+#: Of these: elements whose content holds no elements; those that run to the end of the page if they aren't closed (of
+#: others only the tag is skipped then); those that can be closed within their tag.
+RAW, ENDLESS, FOREIGN = "script style iframe title".split(), ("script", "style"), ("svg", "math")
 LINES = (
     "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead "
@@ -37,16 +41,18 @@ CELLS = ("td", "th")
 #: What stands for an element in the text.
 _PUT = dict.fromkeys(LINES, "\n") | dict.fromkeys(CELLS, " ")
 _SKIP = "|".join(SKIPPED.split())
+_END = {name: re.compile(rf"</{name}(?![a-zA-Z0-9:-])[^>]*+>", re.I) for name in RAW}
 #: A quoted value ends at its quote; one that runs into another tag is no value.
-_TAG = r"""<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>"""
-_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<skip>{_SKIP})\b[^>]*+>.*?(?:</(?P=skip)\s*+>|\Z)|<[!?][^>]*+>|{_TAG}", re.S | re.I)
+_REST = r"""(?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+"""
+_TAG = rf"<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>{_REST})>"
+_MARKUP = re.compile(rf"(?P<comment><!--)|<(?P<skip>{_SKIP})(?![a-zA-Z0-9:-])(?:{_REST}>|[^>]*+>)|<[!?][^>]*+>|{_TAG}", re.I)
 _TITLE = re.compile(r"<title\b[^>]*+>(.*?)</title\s*+>", re.S | re.I)
 _LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
 _META_CHARSET = re.compile(rb"""<meta\b[^>]*?charset\s*=\s*["']?([A-Za-z0-9_:-]+)""", re.I)
 _ADDRESS = re.compile(r"""(?<![\w-])(href|src|action)\s*=\s*(?:"([^"<]*+)"|'([^'<]*+)'|([^\s"'<>]++))""", re.I)
 LINKING = {"a": "href", "area": "href", "link": "href", "img": "src", "iframe": "src", "script": "src", "form": "action"}
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_SCRIPT = re.compile(r"(<(script|style)\b[^>]*+>).*?(</\2\s*+>|\Z)", re.S | re.I)
+#: Whichever begins first: a comment, or a script or style, in which comments don't begin.
+_UNLINKED = re.compile(r"<!--(?:-?>|.*?(?:-->|\Z))|(<(script|style)(?![a-zA-Z0-9:-])[^>]*+(?:>|\Z)).*?(</\2(?![a-zA-Z0-9:-])[^>]*+>|\Z)", re.S | re.I)
 _ELEMENT = re.compile(_TAG.replace("(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)", f"(?P<name>{'|'.join(LINKING)})(?![a-zA-Z0-9:-])"), re.I)
 #: Addresses that urljoin would leave as they are, and paths that it would only put behind the host.
 _WHOLE = re.compile(r"https?://[a-z0-9.-]+(?:/[\w-]+(?:\.\w[\w-]*)*)*/?", re.A)
@@ -125,16 +131,51 @@ def decoded(headers: list[tuple[str, str]], data: bytes) -> tuple[str, str]:
 
 def plain_text(page: str) -> str:
     """The page's text: no markup, comments or scripts; a line for each block; blanks within a line folded."""
-
-    def put(m: re.Match) -> str:
-        name = m["name"]
-        if name:
-            return _PUT.get(name.lower(), "")
-        return "\n" if m["skip"] else ""
-
     # white space of the source is one blank, lines come from elements alone
-    text = html.unescape(_MARKUP.sub(put, " ".join(page.split())))
-    lines = (" ".join(line.split()) for line in text.split("\n"))
+    page = " ".join(page.split())
+    out: list[str] = []
+    # skipped elements not closed yet, with what was put before them; how many of each name; names without a further end
+    opened: list[tuple[str, int]] = []
+    number, endless = dict.fromkeys(SKIPPED.split(), 0), set()
+    at, last, size = 0, page.rfind(">") + 1, len(page)  # no tag ends behind the last one
+    sought = 0
+    while m := _MARKUP.search(page, sought, last):
+        out.append(page[at : m.start()])
+        at = m.end()
+        if m["comment"]:
+            end = page.find("-->", m.start() + 2)
+            at = size if end < 0 else end + 3
+        elif m["skip"]:
+            name = m["skip"].lower()
+            if name in RAW:
+                end = None if name in endless else _END[name].search(page, at)
+                if end:
+                    at = end.end()
+                elif name in ENDLESS:
+                    at = size
+                else:
+                    endless.add(name)
+            elif not (name in FOREIGN and m[0].endswith("/>")):
+                opened.append((name, len(out)))
+                number[name] += 1
+            out.append("\n")
+        elif m["name"]:
+            name = m["name"].lower()
+            if m["close"] and number.get(name):
+                while True:  # what was opened within it and not closed ends with it
+                    inner, before = opened.pop()
+                    number[inner] -= 1
+                    if inner == name:
+                        break
+                del out[before:]
+                out.append("\n")
+            else:
+                out.append(_PUT.get(name, ""))
+        sought = at
+    rest = page[at:]
+    cut = rest.find("<!--")
+    out.append(rest if cut < 0 else rest[:cut])
+    lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
@@ -153,7 +194,7 @@ def links(page: str, base: str) -> list[str]:
     """Addresses that the page links to, absolute where the base allows, in order, each once, with their element."""
     seen: dict[str, None] = {}
     host = found[1] if (found := _HOST.match(base)) else None
-    for m in _ELEMENT.finditer(_SCRIPT.sub(r"\1\3", _COMMENT.sub("", page))):
+    for m in _ELEMENT.finditer(_UNLINKED.sub(lambda m: (m[1] or "") + (m[3] or ""), page)):
         name = m["name"].lower()
         found = _ADDRESS.search(m["rest"])
         if not found or found[1].lower() != LINKING[name]:

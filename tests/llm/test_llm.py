@@ -555,6 +555,28 @@ def test_plain_text_like_a_parser(spark, sf):
     assert all(warc.plain_text(p) == read(p) for p in [PAGE, *pages])
 
 
+def test_elements_left_open():
+    """Ends that HTML lets out, or that a page lacks, cost no more than the tag; nested elements end with the outer one."""
+    for page, want in [
+        ("<html><head><title>T</title><meta charset=x><body><p>one<p>two", "one\ntwo"),
+        ("<head><title>T</title><script>a</script><p>one</p>", "one"),
+        ("a<svg width=1 />b<math/>c", "a\nb\nc"),
+        ("a<svg><path/>no</svg>b", "a\nb"),
+        ("a<noscript>b<p>c", "a\nb\nc"),
+        ("a<object data=x>b<template>c<iframe src=y>d", "a\nb\nc\nd"),
+        ("a<object>no<object>no</object>no</object>b</svg>c", "a\nbc"),
+        ("a<noscript>no<svg></noscript>b", "a\nb"),
+        ("a<title>b<p>c", "a\nb\nc"),
+        ("a<script>no<p>no", "a"),
+        ("a<!-->b<!-- no", "ab"),
+    ]:
+        assert warc.plain_text(page) == want, page
+    page = "<a href=/x>x</a><script>var s = '<!--';</script><a href=/y>y</a><!-- <script> --><a href=/z>z</a>"
+    assert warc.links(page, "http://h.org/") == [f"http://h.org/{c} a/@href" for c in "xyz"]
+    for page in ("<svg>" * 50_000, "<svg " * 50_000, "<title>" * 50_000, "<svg>" * 50_000 + "</object>" * 50_000, "<script " * 50_000, "<iframe " * 50_000 + ">"):
+        assert isinstance(warc.plain_text(page), str) and isinstance(warc.links(page, ""), list)
+
+
 def test_unclosed_markup_is_linear():
     for page in ("<a " * 50_000, '<a href="' * 20_000, "<!--" * 50_000, "<script>" * 20_000, "<" * 100_000):
         assert isinstance(warc.plain_text(page), str) and isinstance(warc.links(page, ""), list)
