@@ -346,7 +346,8 @@ def _deal(body: np.ndarray, asked: dict[str, np.ndarray], length: int, block: in
 
 def _second_round(table: DataFrame, asked: DataFrame, buckets: int, length: int, block: int) -> DataFrame:
     """Spans from suffix orders of what the first round could not tell."""
-    wanted = asked.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "n", "at")).alias("asked"))
+    # tasks that hold copies of a row ask for the same fragments
+    wanted = asked.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n", "at")).alias("asked"))
     ours = table.select(F.coalesce("id", F.lit(_NULL)).alias("id"), "mark", "body")
     joined = ours.join(wanted, ["id", "mark"])
 

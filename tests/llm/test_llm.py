@@ -210,6 +210,16 @@ def test_repeats_like_brute_force(spark, length, gram, monkeypatch):
     assert sorted(own_repeats(df, length=length, gram=gram)) == sorted(brute_repeats(docs, length))
 
 
+def test_repeated_rows_ask_once(spark):
+    """Rows repeated in several tasks, whose end stands in the middle of another text."""
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    end = text(60)
+    docs = [(1, text(80) + end), (2, text(50) + end + text(90)), (3, text(30) + end)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs * 3, 3), "doc_id long, text string")
+    assert sorted(own_repeats(df, length=20, gram=8)) == sorted(brute_repeats(docs, 20) * 3)
+
+
 def test_repeats_across_segments():
     """A text cut into segments has the same fragments of starts, each once."""
     for n in (0, 99, 100, 101, 250, 1000):
