@@ -26,8 +26,8 @@ WINDOW, LITERAL = 8, 4
 #: Items below a window are one window of their own length. Those with fewer tokens than this match only a sentence or
 #: line of their own.
 SHORTEST = 3
-#: Share of an item's tokens that matched windows must cover.
-COVERAGE = 0.5
+#: Share of an item's tokens that matched windows must cover, or else tokens in a row on one alignment.
+COVERAGE, RUN = 0.5, 13
 #: Bits of the filter that spares most windows of the corpus the shuffle; its size doesn't grow.
 FILTER_BITS = 1 << 23
 
@@ -300,10 +300,11 @@ def corpus_windows(docs: DataFrame, bits: bytes, kinds: list[tuple[int, str]], i
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE,
+    item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, run: int = RUN,
 ) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, perhaps with other numbers, names or units.
 
+    A pair counts if consistent alignments cover the share `coverage` of the item, or one of them `run` tokens in a row.
     Returns doc_id, text_hash (of the document's text, so that repeated or null ids stay apart by text), item_id,
     n_item_tokens, n_covered (of them, by matched windows of consistent alignments), coverage, same_values (whether
     all slots hold the item's own values). Null and empty texts match nothing. Windows of few words match with their own
@@ -323,10 +324,15 @@ def contaminated(
     values = F.array_distinct(F.transform("filled", lambda p: p["item_slots"]))
     lined = lined.where(F.size(values) == F.size("filled"))
     lined = lined.withColumn("same", F.forall("filled", lambda p: p["item_slots"] == p["slots"]))
-    by_item = lined.groupBy("id", "mark", "item_id", "n_item_tokens").agg(F.flatten(F.collect_set("at")).alias("at"), F.bool_and("same").alias("same_values"))
-    tokens = F.flatten(F.transform("at", lambda w: F.sequence(w["item_pos"], w["item_pos"] + w["length"] - 1)))
-    out = by_item.withColumn("n_covered", F.size(F.array_distinct(tokens)))
-    out = out.withColumn("coverage", F.col("n_covered") / F.col("n_item_tokens")).where(F.col("coverage") >= coverage)
+    tokens = F.array_distinct(F.flatten(F.transform("at", lambda w: F.sequence(w["item_pos"], w["item_pos"] + w["length"] - 1))))
+    covered = F.array_sort(tokens)
+    in_a_row = F.exists(F.transform(covered, lambda x, i: F.coalesce(F.get(covered, i + (run - 1)) == x + (run - 1), F.lit(False))), lambda x: x)
+    lined = lined.withColumn("long", in_a_row)
+    by_item = lined.groupBy("id", "mark", "item_id", "n_item_tokens").agg(
+        F.flatten(F.collect_set("at")).alias("at"), F.bool_and("same").alias("same_values"), F.bool_or("long").alias("long")
+    )
+    out = by_item.withColumn("n_covered", F.size(tokens))
+    out = out.withColumn("coverage", F.col("n_covered") / F.col("n_item_tokens")).where((F.col("coverage") >= coverage) | F.col("long"))
     return out.select(F.col("id").alias("doc_id"), F.col("mark").alias("text_hash"), "item_id", "n_item_tokens", "n_covered", "coverage", "same_values")
 
 

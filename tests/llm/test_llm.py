@@ -384,6 +384,15 @@ def test_items_of_few_words(spark, item, holds, others):
     assert {r.doc_id for r in decontaminate.contaminated(docs, items).collect()} == set(range(len(holds)))
 
 
+def test_passages_of_long_items(spark):
+    """A run of an item's tokens is found whatever its share, a shorter one is not."""
+    words = [f"{a}{b}" for a in "bcdfghjklmnpqrs" for b in ("ar", "el", "in", "op", "ug", "ax", "ev", "id", "ot", "um")]
+    docs = [(1, "see " + " ".join(words[40:100]) + " end"), (2, " ".join(words[7:20])), (3, " ".join(words[7:19])), (4, " ".join(words[:12] + ["other"] + words[12:20]))]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.n_covered) for r in rows} == {(1, 60), (2, 13)}
+
+
 def test_decontamination_of_awkward_rows(spark, awkward, empty, benchmark):
     docs = awkward.unionByName(spark.createDataFrame([(None, QUESTION, *["x"] * 4), (3, QUESTION, *["x"] * 4)], SCHEMA))
     left = decontaminate.drop_contaminated(docs, benchmark)
