@@ -57,8 +57,11 @@ POLICIES: dict[str, int] = {
     "base": BASE,
     "v1": BASE | BIT["many_words"] | BIT["symbols"] | BIT["duplicate_lines"] | BIT["few_letters"] | BIT["digits"],
     "v2": sum(BIT.values()),
+    "v3": sum(BIT.values()) - BIT["many_words"],
 }
 CURRENT = "v2"
+#: The corpus pipeline rejects no text for its length alone.
+PIPELINE = "v3"
 
 MEASURES = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper",

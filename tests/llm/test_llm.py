@@ -288,6 +288,19 @@ def test_policies_and_ablation(spark, sf):
             assert r.n_kept_without == sum(not b & mask & ~r.bit for b in bits)
 
 
+def test_pipeline_keeps_long_texts(spark, monkeypatch):
+    """A text is not rejected for its length alone, though the ledger says that it is long."""
+    import corpus_pipeline
+
+    rows = [quality.Rule(r.name, (lambda: F.col("n_words") > 100) if r.name == "many_words" else r.fails) for r in quality.RULES]
+    monkeypatch.setattr(quality, "RULES", rows)
+    text = " ".join(f"w{a}{b}rd" for a in "abcdefghijkl" for b in "abcdefghijkl")
+    docs = spark.createDataFrame([(1, text), (2, "few words")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()] == [1]
+    ledger = {r.doc_id: r.failures for r in quality.ledger(docs).collect()}
+    assert ledger[1] == quality.BIT["many_words"]
+
+
 def test_good_rows_keep_their_columns(awkward):
     kept = quality.keep_good(awkward)
     assert kept.schema == awkward.schema
