@@ -3,6 +3,7 @@ whole table and derives the digest columns from what the operator returns."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,10 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnis.llm import sql as texts
-from tarnis.llm import bpe, decontaminate, licenses, pseudonyms, quality, repeats, simhash, token_counts, toxicity, warc
+from tarnis.llm import bpe, centroids, decontaminate, lexical, licenses, pseudonyms, quality, repeats, simhash, token_counts, toxicity, vector_search, warc
+from tarnis.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op2_license_scan": texts.LICENSES, "op6_quality_ledger": texts.QUALITY}
+SQL: dict[str, str] = {
+    "op2_license_scan": texts.LICENSES,
+    "op6_quality_ledger": texts.QUALITY,
+    "op11_norm_buckets": texts.LEXICAL,
+    "op12_centroid_cells": texts.CENTROIDS,
+    "op13_vector_search": texts.VECTORS,
+}
 
 #: The key of pseudonyms is a setting of the session; the fallback serves tests only.
 KEY_CONF = "spark.tarnis.pseudonym.key"
@@ -104,3 +112,28 @@ def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op10_bpe(spark: SparkSession, d: str) -> DataFrame:
     return encoded(table(spark, d, "documents"))
+
+
+@query
+def op11_norm_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op12_centroid_cells(spark: SparkSession, d: str) -> DataFrame:
+    rows, ends, _ = centroids.cluster(table(spark, d, "embeddings"))
+    rows = settle(rows, "clusters")
+    sums = {r.cluster: r.total for r in rows.groupBy("cluster").agg(F.sum("distance").alias("total")).collect()}
+    marks = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in ends.tolist()]
+    of = [F.struct(F.lit(sums.get(i, 0)).cast("long").alias("inertia"), F.lit(mark).alias("mark")) for i, mark in enumerate(marks)]
+    own = F.element_at(F.array(*of), F.col("cluster") + 1) if of else F.lit(None).cast("struct<inertia: long, mark: string>")
+    return rows.select(
+        "vec_id", "cluster", "distance",
+        own["inertia"].alias("cluster_inertia"), F.lit(sum(sums.values())).cast("long").alias("inertia"), own["mark"].alias("centroid_sha256"),
+    )
+
+
+@query
+def op13_vector_search(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return vector_search.top_k(rows, rows.where("vec_id % 50 = 0"))

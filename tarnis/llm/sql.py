@@ -88,3 +88,73 @@ SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, co
   greatest(coalesce(score, 0.0), CASE WHEN n_base > 0 THEN {licenses.CONFIDENCE[licenses.NAME]} ELSE 0.0 END)::DOUBLE AS score
 FROM w LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
 """
+
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+#: Every document scored for every item over the terms that they share.
+LEXICAL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS words FROM documents),
+sizes AS (SELECT r, doc_id, len(words)::BIGINT AS n FROM d WHERE len(words) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(words) AS term FROM d) GROUP BY r, term),
+asked AS (SELECT item_id, term, count(*)::BIGINT AS repeats FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, totals),
+impacts AS (
+  SELECT tf.r, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)) AS impact
+  FROM tf JOIN sizes USING (r), totals
+),
+scores AS (
+  SELECT item_id, r, doc_id, sum(repeats * w * impact)::BIGINT AS score
+  FROM asked JOIN w USING (term) JOIN impacts USING (term) GROUP BY item_id, r, doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scores WHERE score > 0
+) WHERE rank <= 10
+"""
+
+_DISTANCE = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+_NEAREST = f"""
+a{{i}} AS MATERIALIZED (
+  SELECT r, v, arg_min(cluster, [d, cluster]) AS cluster, min(d) AS d FROM (SELECT r, v, cluster, {_DISTANCE}::BIGINT AS d FROM x, c{{i}}) GROUP BY r, v
+)"""
+_MEANS = """
+m{i} AS (
+  SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY dim) AS c
+  FROM (SELECT cluster, dim, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS dim FROM a{i}) GROUP BY cluster, dim)
+  GROUP BY cluster
+),
+c{j} AS MATERIALIZED (SELECT c{i}.cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))"""
+
+#: Ten rounds written out one after another.
+CENTROIDS = f"""
+WITH x AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64 AND len(embedding) = 64
+),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h NULLS LAST, v) - 1)::INTEGER AS cluster, v AS c
+  FROM (SELECT sha256('3:' || vec_id) AS h, v FROM x ORDER BY h NULLS LAST, v LIMIT 8)
+),
+{",".join(_NEAREST.format(i=i) + "," + _MEANS.format(i=i, j=i + 1) for i in range(10))},
+{_NEAREST.format(i=10)}
+SELECT vec_id, a10.cluster, d AS distance, (sum(d) OVER (PARTITION BY a10.cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a10 JOIN x USING (r) JOIN c10 ON a10.cluster = c10.cluster
+"""
+
+#: Every query against every other row.
+VECTORS = """
+WITH x AS (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, x.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM x AS q JOIN x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id AND len(q.v) = len(x.v)
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs
+) WHERE rank <= 5
+"""
