@@ -18,6 +18,7 @@ class CubicBasis:
 
     knots: np.ndarray
     cyclic: bool = False
+    lookup = True  # worth evaluating once per value of a batch
 
     def __post_init__(self):
         k = self.knots = np.asarray(self.knots, dtype=float)
@@ -80,6 +81,7 @@ class ThinPlateBasis:
 
     centres: np.ndarray
     k: int
+    lookup = True
 
     def __post_init__(self):
         c = np.asarray(self.centres, dtype=float)
@@ -115,6 +117,7 @@ class LevelBasis:
     """One column per category; a category not seen in the fit gets zeros."""
 
     levels: list
+    lookup = False
 
     def __post_init__(self):
         self.size = len(self.levels)
@@ -132,6 +135,8 @@ class LevelBasis:
 class LineBasis:
     """The variable itself."""
 
+    lookup = False
+
     def __post_init__(self):
         self.size, self.penalty = 1, np.zeros((1, 1))
 

@@ -25,7 +25,7 @@ from tarnis.smooth.fit import (
     penalty_range,
     total_penalty,
 )
-from tarnis.smooth.model import SMALL_SUPPORT, GamModel
+from tarnis.smooth.model import GamModel
 
 
 def compare(models: Mapping[str, GamModel], criterion: str = "AIC") -> DataFrame:
@@ -66,7 +66,7 @@ def drop_terms(model: GamModel, labels: Sequence[str]) -> dict[str, GamModel]:
     """
     designs = {label: model.design.without([label]) for label in labels}
     out = {}
-    if model.family.name == "gaussian" and not model.frame.lags:
+    if model.family.name == "gaussian" and not model.frame.lags and not model.level:
         for label, design in designs.items():
             out[label] = _submodel(model, design)
         return out
@@ -157,7 +157,6 @@ def k_check(model: GamModel, df: DataFrame | None = None) -> DataFrame:
         sums = rows.select(*covs, F.lit(1).cast("long").alias("n"), e.alias("m"), F.lit(0.0).alias("v"))
     sums = sums.persist(StorageLevel.MEMORY_AND_DISK)
     n, overall = _spread(sums)
-    few = model.frame.compressed and model.frame.combos <= SMALL_SUPPORT
     out = []
     for sm in model.design.smooths:
         if sm.term.kind in ("re", "linear"):
@@ -165,7 +164,7 @@ def k_check(model: GamModel, df: DataFrame | None = None) -> DataFrame:
         edf = float(model.edf_coef[sm.block].sum())
         at = [covs[c] for c in sm.columns]
         if len(at) == 1:
-            index, sd = _line_index(sums, at[0], n, overall, few), 1 / math.sqrt(n)
+            index, sd = _line_index(sums, at[0], n, overall), 1 / math.sqrt(n)
         else:
             index, sd = _cell_index(sums, at, overall)
         out.append((sm.label, sm.size, edf, float(index), float(normal_cdf((index - 1) / sd))))
@@ -186,11 +185,11 @@ def _spread(sums: DataFrame) -> tuple[int, float]:
     return r["n"], r["n"] * r["v"] / (r["n"] - 1)
 
 
-def _line_index(sums: DataFrame, x: str, n: int, overall: float, few: bool) -> float:
+def _line_index(sums: DataFrame, x: str, n: int, overall: float) -> float:
     values = sums.groupBy(x).agg(*_pooled())
     # squared differences of neighbours: inside a group of equal values, and from group to group
     previous = {f"{c}0": (lambda w, c=c: F.lag(c).over(w)) for c in ("m", "v")}
-    stepped = over_neighbours(values, previous, [x], before=1, bounded=few)
+    stepped = over_neighbours(values, previous, [x], before=1)
     jump = F.col("v") + F.col("v0") + F.pow(F.col("m") - F.col("m0"), F.lit(2))
     r = stepped.agg(F.sum(2 * F.col("n") * F.col("v")).alias("inside"), F.sum(jump).alias("between")).first()
     return (r["inside"] + (r["between"] or 0.0)) / (2 * (n - 1)) / overall

@@ -21,6 +21,7 @@ from tarnis.operators.order import over_neighbours
 from tarnis.operators.series import innovations
 from tarnis.session import settle
 from tarnis.smooth.family import FAMILIES, Family, ScaledT, Tweedie
+from tarnis.smooth.levels import Arrow, LevelFit, LevelTerm, halfway, level_sums, with_offset
 from tarnis.smooth.model import GamModel
 from tarnis.smooth.sums import sum_over_rows
 from tarnis.smooth.terms import (
@@ -28,7 +29,7 @@ from tarnis.smooth.terms import (
     Smooth,
     Term,
     contrast_to,
-    marginal,
+    marginals,
     null_space_penalty,
     tensor_penalties,
 )
@@ -136,15 +137,18 @@ def prepare(df: DataFrame, response: str, variables: list[str], family: Family,
 
 def build_design(frame: Frame, terms: Sequence[Term], select: bool) -> Design:
     """Knots from the covariates, then centring constraints from one pass of column sums."""
-    cache: dict = {}
-    smooths = []
+    level = _level_term(frame, terms)
+    smooths, wanted = [], []
     for t in terms:
+        if level and t is level.term:
+            continue
         at = [frame.variables.index(v) for v in t.variables]
-        bases = [
-            marginal(frame.cells, f"x{c}", b, k, e, cache)
-            for c, b, k, e in zip(at, t.bs, t.k, t.ends or (None,) * len(at))
-        ]
-        smooths.append(Smooth(t, at, bases, [None] * len(at)))
+        own = [(f"x{c}", b, k, e) for c, b, k, e in zip(at, t.bs, t.k, t.ends or (None,) * len(at))]
+        wanted.append(own)
+        smooths.append(Smooth(t, at, [], [None] * len(at)))
+    bases = marginals(frame.cells, [w for own in wanted for w in own])
+    for sm, own in zip(smooths, wanted):
+        sm.bases = [bases[w] for w in own]
 
     count = len(frame.variables)
 
@@ -180,7 +184,22 @@ def build_design(frame: Frame, terms: Sequence[Term], select: bool) -> Design:
             free = null_space_penalty(sm.penalties)
             if free is not None:
                 sm.penalties = [*sm.penalties, free]
-    return Design(smooths, frame.variables).place()
+    if level:
+        named = {t.label for t in terms[: list(terms).index(level.term)]}
+        level.before = sum(len(sm.penalties) for sm in smooths if sm.label in named)
+    return Design(smooths, frame.variables, level).place()
+
+
+def _level_term(frame: Frame, terms: Sequence[Term]) -> LevelTerm | None:
+    """The random effect to keep as a table: of several the one with most levels. With AR errors a row mixes the levels of
+    earlier rows, so random effects are columns there."""
+    effects = [LevelTerm(t, frame.variables.index(t.variables[0])) for t in terms if t.kind == "re"]
+    if not effects or frame.lags:
+        return None
+    if len(effects) == 1:
+        return effects[0]
+    counts = frame.cells.agg(*[F.count_distinct(f"x{e.column}") for e in effects]).first()
+    return max(zip(counts, range(0, -len(effects), -1), effects))[2]
 
 
 # --- one pass over the rows --------------------------------------------------------------------
@@ -200,6 +219,7 @@ class Pass:
     lag_counts: np.ndarray
     log_det: float
     rss: float  # on the response scale
+    working_rss: float = 0.0  # weighted, of the working response (without AR errors)
 
 
 def _values(pdf: pd.DataFrame, count: int, lag: int = 0) -> list:
@@ -207,23 +227,31 @@ def _values(pdf: pd.DataFrame, count: int, lag: int = 0) -> list:
     return [pdf[f"x{i}{tail}"].to_numpy() for i in range(count)]
 
 
-def run_pass(frame: Frame, design: Design, family: Family, beta: np.ndarray | None, phi: Sequence[float] = ()) -> Pass:
-    p, count, lags = design.size, len(frame.variables), frame.lags
+def _working(pdf: pd.DataFrame, design: Design, family: Family, beta: np.ndarray | None, lag: int = 0):
+    """Design, response, mean, weight, working response and linear predictor of the rows (or of the rows `lag` before them)."""
+    x = design.matrix(_values(pdf, len(design.variables), lag))
+    y = pdf["ybar" if not lag else f"y_{lag}"].to_numpy()
+    if beta is None:
+        eta = family.start(y)
+        mu, w, z = family.working(eta, y)
+        w = np.ones_like(w) if family.by_row else w
+    else:
+        eta = x @ beta
+        if "u" in pdf:
+            eta = eta + pdf["u"].to_numpy()
+        mu, w, z = family.working(eta, y)
+    return x, y, mu, w, z, eta
+
+
+def run_pass(
+    frame: Frame, design: Design, family: Family, beta: np.ndarray | None, phi: Sequence[float] = (), cells: DataFrame | None = None
+) -> Pass:
+    """`cells` are those of the frame with the effect of a random level as column u, where there is one."""
+    p, lags = design.size, frame.lags
     weights, ratios = innovations(phi) if len(phi) else ([], np.ones(1))
 
     def scaled_rows(pdf, lag=0):
-        """Design, working response and residual of the rows (or of the rows `lag` before them),
-        each times the square root of its weight."""
-        x = design.matrix(_values(pdf, count, lag))
-        y = pdf["ybar" if not lag else f"y_{lag}"].to_numpy()
-        if beta is None:
-            eta = family.start(y)
-            mu, w, z = family.working(eta, y)
-            w = np.ones_like(w) if family.by_row else w
-        else:
-            eta = x @ beta
-            mu, w, z = family.working(eta, y)
-        return x, y, mu, w, z, eta
+        return _working(pdf, design, family, beta, lag)
 
     def partial(pdf: pd.DataFrame) -> np.ndarray:
         n, m2 = pdf["n"].to_numpy(), pdf["m2"].to_numpy()
@@ -260,21 +288,23 @@ def run_pass(frame: Frame, design: Design, family: Family, beta: np.ndarray | No
                 x, z = x_new / np.sqrt(v)[:, None], z_new / np.sqrt(v)
                 log_det = float(np.sum(np.log(v)))
             gram, cross, square = x.T @ x, x.T @ z, float(z @ z)
+            working_rss = 0.0
         else:
             xw = x * nw[:, None]
             gram, cross = x.T @ xw, xw.T @ z
             square = float(nw @ (z * z) + within.sum())
+            working_rss = float(nw @ ((z - eta) ** 2) + within.sum())
         rss = float(np.sum(m2 + n * (y - mu) ** 2))
-        head = [square, deviance, pearson, s1, s2, log_det, rss]
+        head = [square, deviance, pearson, s1, s2, log_det, rss, working_rss]
         return np.concatenate([head, products, counts, cross, gram.ravel()])
 
-    total = sum_over_rows(frame.cells, partial, frame.parts)
-    square, deviance, pearson, s1, s2, log_det, response_rss = total[:7]
-    rest = total[7:]
+    total = sum_over_rows(frame.cells if cells is None else cells, partial, frame.parts)
+    square, deviance, pearson, s1, s2, log_det, response_rss, working_rss = total[:8]
+    rest = total[8:]
     products, counts, rest = rest[: lags + 1], rest[lags + 1 : 2 * lags + 2], rest[2 * lags + 2 :]
     return Pass(
         rest[p:].reshape(p, p), rest[:p], square, deviance + family.deviance_constant(frame.total),
-        pearson, (s1, s2), products, counts, log_det, response_rss,
+        pearson, (s1, s2), products, counts, log_det, response_rss, working_rss,
     )
 
 
@@ -331,6 +361,29 @@ def safe_inverse(h: np.ndarray) -> np.ndarray:
         return np.linalg.pinv(scaled, rcond=1e-12, hermitian=True) * np.outer(d, d)
 
 
+class PenalisedInverse:
+    """(A + S)^-1, formed in the axes of the penalty of each block: there even a huge penalty only scales a row and a
+    column, so what it leaves free keeps its digits."""
+
+    def __init__(self, size: int, penalties: list[Penalty]):
+        self.size = size
+        self.blocks = {(p.block.start, p.block.stop) for p in penalties}
+        single = {b: [p for p in penalties if (p.block.start, p.block.stop) == b] for b in self.blocks}
+        self.known = {b: np.linalg.eigh(own[0].matrix)[1] for b, own in single.items() if len(own) == 1}
+
+    def __call__(self, gram: np.ndarray, s: np.ndarray) -> np.ndarray:
+        axes, values = np.eye(self.size), np.zeros(self.size)
+        for block in self.blocks:
+            own = slice(*block)
+            if block in self.known:
+                axes[own, own] = a = self.known[block]
+                v = np.einsum("ij,ij->j", a, s[own, own] @ a)
+            else:
+                v, axes[own, own] = np.linalg.eigh(s[own, own])
+            values[own] = np.where(v > v.max() * 1e-14, v, 0.0)
+        return axes @ safe_inverse(axes.T @ gram @ axes + np.diag(values)) @ axes.T
+
+
 @dataclass
 class Solution:
     beta: np.ndarray
@@ -346,10 +399,11 @@ def choose_smoothing(r: Pass, n: int, penalties, lam, span, method: str, fixed:
     size = len(r.cross)
     restricted = [span.T[:, p.block] @ p.matrix @ span[p.block] for p in penalties]
     unpenalised = size - span.shape[1]
+    invert = PenalisedInverse(size, penalties)
     lam, last = lam.copy(), np.inf
     for _ in range(200):
         s = total_penalty(size, penalties, lam)
-        inverse = safe_inverse(r.gram + s)
+        inverse = invert(r.gram, s)
         beta = inverse @ r.cross
         edf = np.einsum("ij,ji->i", inverse, r.gram)
         rss = max(r.square - 2 * beta @ r.cross + beta @ r.gram @ beta, 1e-300)
@@ -454,67 +508,180 @@ def fit_frame(frame, terms, family, method, select, ar, lam, estimate_power=Fals
     return model
 
 
+class _Columns:
+    """The normal equations with a column for every coefficient."""
+
+    def __init__(self, frame: Frame, design: Design, family: Family, method: str, phi):
+        self.frame, self.design, self.family, self.method, self.phi = frame, design, family, method, phi
+        self.effects = None
+
+    def read(self, beta, effects=None) -> Pass:
+        return run_pass(self.frame, self.design, self.family, beta, self.phi)
+
+    def prepare(self, r: Pass, lam) -> None:
+        self.penalties, self.span = penalties_of(self.design, r.gram), penalty_range(self.design)
+        self.fixed = lam is not None
+        count = len(self.penalties)
+        self.lam = np.full(count, 1.0 if lam is None else float(lam)) if lam is None or np.isscalar(lam) else np.asarray(lam, dtype=float)
+
+    def choose(self, r: Pass, known=None, final=False) -> Solution:
+        sol = choose_smoothing(r, self.frame.n, self.penalties, self.lam, self.span, self.method, self.fixed or final, known)
+        self.lam = sol.lam
+        return sol
+
+    def proposal(self, sol: Solution):
+        return sol.beta, None
+
+    def halfway(self, old, new):
+        return (old[0] + new[0]) / 2, None
+
+    def penalty(self, beta, effects) -> float:
+        return float(beta @ total_penalty(self.design.size, self.penalties, self.lam) @ beta)
+
+    def edf(self, sol: Solution) -> float:
+        return float(sol.edf.sum())
+
+    def residual(self, r: Pass, sol: Solution) -> float:
+        """Residual sum of squares of a linear model, from its cross-products."""
+        return r.square - 2 * sol.beta @ r.cross + sol.beta @ r.gram @ sol.beta
+
+    def fitted(self, r: Pass, sol: Solution, scale: float):
+        """The pass and what the model knows about its levels."""
+        return r, None, sol.lam
+
+
+class _Levels(_Columns):
+    """The normal equations with a random effect kept as a table of its levels."""
+
+    def read(self, beta, effects=None) -> Pass:
+        self.at = beta, with_offset(self.frame.cells, self.design.level, effects)
+        return run_pass(self.frame, self.design, self.family, beta, cells=self.at[1])
+
+    def prepare(self, r: Pass, lam) -> None:
+        self.given = None
+        if lam is not None:
+            self.given = float(lam if np.isscalar(lam) else lam[self.design.level.before])
+            lam = lam if np.isscalar(lam) else np.delete(np.asarray(lam, dtype=float), self.design.level.before)
+        super().prepare(r, lam)
+        self.ratio, self.near = None, None
+
+    def choose(self, r: Pass, known=None, final=False) -> Solution:
+        design, family, (beta, cells) = self.design, self.family, self.at
+
+        def weighted(pdf):
+            x, _, _, w, z, _ = _working(pdf, design, family, beta)
+            return x, pdf["n"].to_numpy() * w, z
+
+        arrow = self.arrow = Arrow(r, level_sums(cells, design.level, weighted, design.size), design.size, self.frame.parts)
+
+        def solve(reduced):
+            return choose_smoothing(reduced, self.frame.n, self.penalties, self.lam, self.span, self.method, self.fixed or final, known)
+
+        def posterior(reduced, sol):
+            if self.method == "REML":
+                return sol.inverse
+            h = reduced.gram + total_penalty(design.size, self.penalties, sol.lam)
+            return self.span @ safe_inverse(self.span.T @ h @ self.span) @ self.span.T
+
+        if final and self.ratio is not None:
+            self.choice = arrow.at(arrow.reduced(np.array([self.ratio])), 0, solve, posterior)
+        else:
+            self.choice = arrow.choose(solve, posterior, self.given, self.near)
+            # next time the search starts around here, within a few times the last move
+            log, last = np.log(self.choice.ratio), self.near and self.near[0]
+            self.near = log, 1.0 if last is None else float(np.clip(4 * abs(log - last), 1e-3, 1.0))
+        self.ratio = self.choice.ratio
+        sol = self.choice.solution
+        self.lam = sol.lam
+        return replace(sol, score=self.choice.score)
+
+    def proposal(self, sol: Solution):
+        self.square = self.choice.square
+        return sol.beta, self.arrow.effects(sol.beta, self.choice.ratio)
+
+    def halfway(self, old, new):
+        effects = halfway(old[1], new[1])
+        self.square = effects.agg(F.sum(F.col("u") * F.col("u"))).first()[0]
+        return (old[0] + new[0]) / 2, effects
+
+    def penalty(self, beta, effects) -> float:
+        square = 0.0 if effects is None else effects.agg(F.sum(F.col("u") * F.col("u"))).first()[0]
+        return super().penalty(beta, effects) + self.ratio * square
+
+    def edf(self, sol: Solution) -> float:
+        return float(sol.edf.sum()) + self.choice.edf
+
+    def residual(self, r: Pass, sol: Solution) -> float:
+        return super().residual(self.choice.reduced, sol) - self.choice.ratio * self.choice.square
+
+    def fitted(self, r: Pass, sol: Solution, scale: float):
+        c = self.choice
+        reduced = replace(r, gram=c.reduced.gram, cross=c.reduced.cross, square=c.reduced.square)
+        effects = self.arrow.effects(sol.beta, c.ratio, scale)
+        level = LevelFit(self.design.level, effects, self.arrow.count, c.edf, c.ratio, c.square, c.log_det, r.gram)
+        return reduced, level, np.insert(sol.lam, self.design.level.before, c.ratio / self.arrow.root_mean_square)
+
+
 def _iterate(frame: Frame, design: Design, family: Family, method: str, lam=None, beta=None, phi=()) -> GamModel:
-    fixed = lam is not None
-    r = run_pass(frame, design, family, beta, phi)
-    penalties = penalties_of(design, r.gram)
-    span = penalty_range(design)
-    if fixed and np.isscalar(lam):
-        lam = np.full(len(penalties), float(lam))
-    start = np.ones(len(penalties)) if lam is None else np.asarray(lam, dtype=float)
+    system = (_Levels if design.level else _Columns)(frame, design, family, method, phi)
+    at = beta, None  # coefficients and level effects
+    r = system.read(*at)
+    system.prepare(r, lam)
     if isinstance(family, ScaledT) and family.sigma is None:
-        first = choose_smoothing(r, frame.n, penalties, start, span, method, fixed)
-        family.sigma, beta = float(np.sqrt(first.scale)), first.beta
-        r = run_pass(frame, design, family, beta, phi)
+        first = system.choose(r)
+        family.sigma, at = float(np.sqrt(first.scale)), system.proposal(first)
+        r = system.read(*at)
 
-    previous, sol = None, None
+    previous, sol, converged = None, None, False
     for step in range(MAX_STEPS):
         known = family.sigma**2 if isinstance(family, ScaledT) else None
-        sol = choose_smoothing(r, frame.n, penalties, start, span, method, fixed, known)
-        start = sol.lam
+        sol = system.choose(r, known)
         if family.name == "gaussian":
             # linear in the response: the cross-products already give the deviance
-            beta = sol.beta
+            at, converged = (sol.beta, None), True
             if not frame.lags:
-                rss = r.square - 2 * beta @ r.cross + beta @ r.gram @ beta
+                rss = system.residual(r, sol)
                 r = replace(r, deviance=rss, pearson=rss, rss=rss)
             else:
-                r = run_pass(frame, design, family, beta, phi)
+                r = run_pass(frame, design, family, sol.beta, phi)
             break
-        proposal = sol.beta
-        new = run_pass(frame, design, family, proposal, phi)
-        s = total_penalty(design.size, penalties, sol.lam)
-        if beta is not None and not len(phi):
-            old_value = r.deviance + beta @ s @ beta
+        proposal = system.proposal(sol)
+        new = system.read(*proposal)
+        if at[0] is not None and not len(phi):
+            old_value = r.deviance + system.penalty(*at)
             for _ in range(8):
-                if np.isfinite(new.deviance) and new.deviance + proposal @ s @ proposal <= old_value * (1 + 1e-6) + 1e-8:
+                if np.isfinite(new.deviance) and new.deviance + system.penalty(*proposal) <= old_value * (1 + 1e-6) + 1e-8:
                     break
-                proposal = (proposal + beta) / 2
-                new = run_pass(frame, design, family, proposal, phi)
-        beta, r = proposal, new
+                proposal = system.halfway(at, proposal)
+                new = system.read(*proposal)
+        at, r = proposal, new
         if isinstance(family, ScaledT):
-            weighted = r.square - 2 * beta @ r.cross + beta @ r.gram @ beta
-            family.sigma = float(np.sqrt(weighted / frame.n))
+            family.sigma = float(np.sqrt(r.working_rss / frame.n))
         value = r.deviance
-        log.debug("step %d deviance %.8g edf %.3f", step, value, sol.edf.sum())
+        log.debug("step %d deviance %.8g edf %.3f", step, value, system.edf(sol))
         if previous is not None and abs(value - previous) <= TOLERANCE * (abs(value) + 0.1):
+            converged = True
             break
         previous = value
+    if not converged:
+        log.warning("no convergence after %d steps; the deviance was last %.8g", MAX_STEPS, r.deviance)
     known = family.sigma**2 if isinstance(family, ScaledT) else None
-    final = choose_smoothing(r, frame.n, penalties, sol.lam, span, method, True, known)
-    edf = final.edf.sum()
+    beta = at[0]
+    final = system.choose(r, known, final=True)
+    edf = system.edf(final)
     if len(phi):
         scale = final.scale
     elif isinstance(family, ScaledT):
         scale = family.sigma**2
     else:
         scale = r.pearson / max(frame.n - edf, 1.0)
-    s = total_penalty(design.size, penalties, sol.lam)
+    s = total_penalty(design.size, system.penalties, final.lam)
+    last, level, lams = system.fitted(r, final, scale)
     return GamModel(
-        frame=frame, design=design, family=family, method=method, beta=beta, lam=sol.lam,
-        covariance=scale * final.inverse, edf_coef=final.edf, scale=float(scale), last=r,
-        penalty=s, penalty_span=span, inverse=final.inverse, phi=np.asarray(phi, dtype=float),
-        working_score=final.score,
+        frame=frame, design=design, family=family, method=method, beta=beta, lam=lams,
+        covariance=scale * final.inverse, edf_coef=final.edf, scale=float(scale), last=last,
+        penalty=s, penalty_span=system.span, inverse=final.inverse, phi=np.asarray(phi, dtype=float),
+        working_score=final.score, level=level, converged=converged,
     )
 
 

@@ -26,9 +26,6 @@ from tarnis.session import settle
 from tarnis.smooth.sums import sum_over_rows
 
 
-SMALL_SUPPORT = 1_000_000  # covariate combinations whose values fit into one task
-
-
 def _struct(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 
@@ -53,6 +50,8 @@ class GamModel:
     terms: list = field(default_factory=list, repr=False)
     select: bool = False
     ar: object = None
+    level: object = field(default=None, repr=False)  # the levels of a random effect
+    converged: bool = True
 
     # --- numbers ---
 
@@ -74,7 +73,7 @@ class GamModel:
 
     @property
     def edf(self) -> float:
-        return float(self.edf_coef.sum())
+        return float(self.edf_coef.sum()) + (self.level.edf if self.level else 0.0)
 
     @property
     def residual_df(self) -> float:
@@ -146,6 +145,8 @@ class GamModel:
         unpenalised = self.design.size - span.shape[1]
         log_s = np.linalg.slogdet(span.T @ self.penalty @ span)[1] if span.shape[1] else 0.0
         fit = (self.deviance + self.beta @ self.penalty @ self.beta) / (2 * self.scale)
+        if self.level:
+            fit += self.level.penalty / (2 * self.scale) + self.level.log_det / 2
         if self.method == "ML":
             log_h = np.linalg.slogdet(span.T @ h @ span)[1] if span.shape[1] else 0.0
             return float(fit - self.family.saturated(self) + (log_h - log_s) / 2)
@@ -155,33 +156,43 @@ class GamModel:
         )
 
     def summary(self) -> DataFrame:
-        """One row per smooth: (term, edf, max_df, f, p)."""
+        """One row per smooth: (term, edf, max_df, f, p). A random effect kept as a table of levels is tested by the mean
+        square of its effects against the scale."""
         rows = []
+        gram = self.level.gram if self.level else self.last.gram
         for sm in self.design.smooths:
             b, v = self.beta[sm.block], self.covariance[sm.block, sm.block]
             edf = float(self.edf_coef[sm.block].sum())
             rank = max(1, min(sm.size, round(edf)))
             # on the scale of the fitted curve: X'WX = R'R, test R b with covariance R V R'
-            size, axes = np.linalg.eigh(self.last.gram[sm.block, sm.block])
+            size, axes = np.linalg.eigh(gram[sm.block, sm.block])
             root = np.sqrt(np.maximum(size, 0))[:, None] * axes.T
             values, vectors = np.linalg.eigh(root @ v @ root.T)
             lead = np.argsort(-values)[:rank]
             stat = float(np.sum((vectors[:, lead].T @ (root @ b)) ** 2 / values[lead])) / rank
             rows.append((sm.label, edf, sm.size, stat, f_tail(stat, rank, self.residual_df)))
+        if self.level:
+            weighted = self.level.effects.agg(F.sum(F.col("d") * F.col("u") * F.col("u"))).first()[0]
+            edf = self.level.edf
+            stat = float(weighted) / (max(edf, 1e-12) * self.scale)
+            rows.append((self.level.term.label, edf, self.level.count, stat, f_tail(stat, max(edf, 1e-6), self.residual_df)))
+            order = [t.label for t in self.terms]
+            rows.sort(key=lambda r: order.index(r[0]) if r[0] in order else len(order))
         return self._local(rows, "term string, edf double, max_df int, f double, p double")
 
     def statistics(self) -> DataFrame:
-        """One row: family, n, edf, scale, deviance explained, adjusted R2, criterion, AIC, BIC."""
+        """One row: family, n, edf, scale, deviance explained, adjusted R2, criterion, AIC, BIC, and whether the fit converged."""
         row = (
             self.family.name, self.n, self.edf, self.scale, self.deviance, self.deviance_explained,
             float(self.r2_adjusted), self.method, self.criterion, self.loglik, self.aic, self.bic,
-            float(self.family.variance_power), [float(a) for a in self.phi],
+            float(self.family.variance_power), [float(a) for a in self.phi], self.converged,
         )
         return self._local(
             [tuple(float(v) if isinstance(v, np.floating) else v for v in row)],
             "family string, n long, edf double, scale double, deviance double,"
             " deviance_explained double, r2_adjusted double, method string, criterion double,"
-            " loglik double, aic double, bic double, variance_power double, ar array<double>",
+            " loglik double, aic double, bic double, variance_power double, ar array<double>,"
+            " converged boolean",
         )
 
     def coefficients(self) -> DataFrame:
@@ -206,8 +217,21 @@ class GamModel:
             cols.append(c.cast("string" if v in kinds else "double").alias(f"x{i}"))
         return cols
 
-    def _evaluate(self, make, fields: Sequence[str], names=None) -> Column:
-        """Struct column of `make(values) -> arrays`, NULL where a covariate is missing."""
+    def _with_values(self, df: DataFrame, make, fields: Sequence[str], names=None, level: bool = False) -> DataFrame:
+        """Add `make(values)` as the struct column _p, NULL where a covariate is missing.
+
+        Bases are evaluated once per value of each covariate in a batch and looked up for its rows, so nothing is joined and the other
+        columns stay in the JVM. With `level`, `make` also gets what is known of the row's level: effect, shares and own variance
+        (zeros for a level that the fit has not seen).
+        """
+        inputs = self._covariates(names)
+        extra = 3 if level and self.level else 0
+        if extra:
+            known = self.level.effects.select(F.col("level").alias("_l"), F.struct("u", "g", "v").alias("_level"))
+            df = df.withColumn("_key", inputs[self.level.term.column]).join(known, F.col("_key") == F.col("_l"), "left").drop("_l", "_key")
+            none = F.array_repeat(F.lit(0.0), self.design.size)
+            parts = (F.coalesce("_level.u", F.lit(0.0)), F.coalesce("_level.g", none), F.coalesce("_level.v", F.lit(0.0)))
+            inputs = inputs + [c.alias(f"_{n}") for n, c in zip("ugv", parts)]
 
         @F.pandas_udf(_struct(fields))
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -215,36 +239,14 @@ class GamModel:
             out = np.full((len(pdf), len(fields)), np.nan)
             if ok.any():
                 known = pdf[ok]
-                out[ok] = np.column_stack(make([known[c].to_numpy() for c in known.columns]))
+                values = [known[c].to_numpy() for c in known.columns]
+                if extra:
+                    values[-2] = np.vstack(values[-2])
+                out[ok] = np.column_stack(make(values))
             return pd.DataFrame(out, columns=list(fields))
 
-        return run(F.struct(*self._covariates(names)))
-
-    def _with_values(
-        self, df: DataFrame, make, fields: Sequence[str], names=None, grid=None, combos: DataFrame | None = None
-    ) -> DataFrame:
-        """Add `make(values)` as the struct column _p.
-
-        Where the covariates of the fit repeat (year and day of year, say), the basis is evaluated
-        once per combination and joined back, so the rows themselves never leave the JVM; the
-        combinations are stored first and broadcast when they are few. Otherwise, and on grids (by
-        default where `names` gives ready columns), it is evaluated row by row in batches. `combos`
-        holds the combinations (as x0, x1, ...) where they are already known.
-        """
-        on_grid = names is not None if grid is None else grid
-        if on_grid or not self.frame.compressed:
-            return df.withColumn("_p", self._evaluate(make, fields, names))
-        keys = [f"_x{i}" for i in range(len(self.design.variables))]
-        tagged = df.withColumns(dict(zip(keys, self._covariates(names))))
-        ready = dict(zip(self.design.variables, keys))
-        if combos is None:
-            combos = tagged.select(*keys).distinct()
-        else:
-            combos = combos.select(*[F.col(k[1:]).alias(k) for k in keys])
-        values = settle(combos.select(*keys, self._evaluate(make, fields, ready).alias("_p")), "values")
-        values = values.withColumnsRenamed({k: f"{k}r" for k in keys})
-        same = [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in keys]
-        return tagged.join(values, same, "left").drop(*keys, *[f"{k}r" for k in keys])
+        out = df.withColumn("_p", run(F.struct(*inputs)))
+        return out.drop("_level") if extra else out
 
     def _observed(self) -> Column:
         return F.expr(self.frame.response).cast("double")
@@ -256,11 +258,14 @@ class GamModel:
         return (y - mu) / mu if self.family.log_link else y - mu
 
     def _link(self):
-        design, beta, cov = self.design, self.beta, self.covariance
+        design, beta, cov, level = self.design, self.beta, self.covariance, self.level is not None
 
         def make(values):
             x = design.matrix(values)
-            return x @ beta, np.sqrt(np.maximum(np.einsum("ij,ij->i", x @ cov, x), 0))
+            eta, own = x @ beta, 0.0
+            if level:
+                eta, own, x = eta + values[-3], values[-1], x - values[-2]
+            return eta, np.sqrt(np.maximum(np.einsum("ij,ij->i", x @ cov, x) + own, 0))
 
         return make
 
@@ -270,7 +275,7 @@ class GamModel:
         On the response scale the fit and the interval bounds are transformed; `se` stays on the link
         scale and `se_response` is its first-order equivalent.
         """
-        out = self._with_values(df, self._link(), ["fit", "se"], names)
+        out = self._with_values(df, self._link(), ["fit", "se"], names, level=True)
         eta, err = F.col("_p.fit"), F.col("_p.se")
         back = F.exp if self.family.log_link and scale == "response" else (lambda c: c)
         made = {"fit": back(eta)}
@@ -283,28 +288,41 @@ class GamModel:
     def predict_terms(self, df: DataFrame, term: str, names=None) -> DataFrame:
         """Add one term's contribution, its standard error and the model constant."""
         sm, beta, cov = self.design.term(term), self.beta, self.covariance
-        b, v = beta[sm.block], cov[sm.block, sm.block]
+        level = self.level is not None and sm is self.level.term
+        out = self._with_values(df, self._level_effect if level else self._term_effect(sm), ["effect", "se"], names, level)
+        return out.withColumns(
+            {"effect": F.col("_p.effect"), "effect_se": F.col("_p.se"), "constant": F.lit(float(beta[0]))}
+        ).drop("_p")
+
+    def _term_effect(self, sm):
+        b, v = self.beta[sm.block], self.covariance[sm.block, sm.block]
 
         def make(values):
             x = sm.design(values)
             return x @ b, np.sqrt(np.maximum(np.einsum("ij,ij->i", x @ v, x), 0))
 
-        out = self._with_values(df, make, ["effect", "se"], names)
-        return out.withColumns(
-            {"effect": F.col("_p.effect"), "effect_se": F.col("_p.se"), "constant": F.lit(float(beta[0]))}
-        ).drop("_p")
+        return make
+
+    @property
+    def _level_effect(self):
+        cov = self.covariance
+
+        def make(values):
+            u, g, own = values[-3:]
+            return u, np.sqrt(np.maximum(np.einsum("ij,ij->i", g @ cov, g) + own, 0))
+
+        return make
 
     def residuals(self, df: DataFrame) -> DataFrame:
         """Add linear_predictor, fitted and the working, Pearson and deviance residuals."""
-        out = self._with_values(df, self._link(), ["fit", "se"])
+        out = self._with_values(df, self._link(), ["fit", "se"], level=True)
         return self._add_residuals(out, self._observed())
 
     def fitted_rows(self) -> DataFrame:
         """The rows of the fit (y, x0, x1, ... as evaluated then) with their residuals."""
         names = {v: f"x{i}" for i, v in enumerate(self.design.variables)}
         rows = self.frame.rows.select("y", *names.values())
-        combos = self.frame.cells if self.frame.compressed else None
-        out = self._with_values(rows, self._link(), ["fit", "se"], names, grid=False, combos=combos)
+        out = self._with_values(rows, self._link(), ["fit", "se"], names, level=True)
         return self._add_residuals(out, F.col("y"))
 
     def _add_residuals(self, df: DataFrame, y: Column) -> DataFrame:
@@ -343,10 +361,7 @@ class GamModel:
                 levels = points.groupBy(x.alias("m")).agg(F.sum("n").alias("n"))
                 out = out.withColumn(v, one_row(levels.agg(F.min_by("m", F.struct(-F.col("n"), F.col("m"))).alias("m")))["m"])
                 continue
-            if self.frame.compressed and self.frame.combos <= SMALL_SUPPORT:
-                middle = points.agg(F.percentile(x, 0.5, F.col("n").cast("long")).alias("m"))
-            else:
-                middle = group_quantiles(self.frame.rows, f"x{self.design.variables.index(v)}", [0.5], names=["m"])
+            middle = group_quantiles(points, x, [0.5], names=["m"], weight="n")
             out = out.withColumn(v, one_row(middle)["m"])
         return out
 
@@ -426,19 +441,18 @@ class GamModel:
 
     def partial_effects(self, df: DataFrame, ids: Sequence[str]) -> DataFrame:
         """Every term's effect per row with its standard error and partial residual, long form."""
-        design, beta, cov = self.design, self.beta, self.covariance
-        smooths = design.smooths
+        smooths = [*self.design.smooths, *([self.design.level] if self.level else [])]
         fields = ["eta", *[f"{kind}{i}" for i in range(len(smooths)) for kind in ("effect", "se")]]
+        link = self._link()
+        effects = [self._level_effect if sm is self.design.level else self._term_effect(sm) for sm in smooths]
 
         def make(values):
-            x = design.matrix(values)
-            out = [x @ beta]
-            for sm in smooths:
-                xb, v = x[:, sm.block], cov[sm.block, sm.block]
-                out += [xb @ beta[sm.block], np.sqrt(np.maximum(np.einsum("ij,ij->i", xb @ v, xb), 0))]
+            out = [link(values)[0]]
+            for effect in effects:
+                out += effect(values)
             return out
 
-        wide = self._with_values(df, make, fields)
+        wide = self._with_values(df, make, fields, level=True)
         working = self._working(self._observed(), self._mean(F.col("_p.eta")))
         per_term = F.array(
             *[

@@ -12,12 +12,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnis.operators.quantiles import quantiles
+from tarnis.operators.quantiles import evenly_ranked, order_statistics
+from tarnis.smooth.levels import LevelTerm
 from tarnis.smooth.bases import CubicBasis, LevelBasis, LineBasis, ThinPlateBasis
 
-COLLECT_VALUES = 20_000  # distinct values of one covariate that may come to the driver
 CENTRES = 200  # centres of a thin plate basis
-MAX_LEVELS = 5_000
 
 
 @dataclass(frozen=True)
@@ -76,48 +75,60 @@ def linear(variable: str) -> Term:
 # --- from term to design -----------------------------------------------------------------------
 
 
-def covariate_points(frame: DataFrame, column: str, wanted: int, ends=None) -> np.ndarray:
-    """Quantiles of the distinct values of a covariate (end knots added to them), evenly spaced in
-    rank. Few distinct values come to the driver; many are ranked by a distributed job."""
-    distinct = frame.select(column).distinct()
-    sample = distinct.limit(COLLECT_VALUES + 1).collect()
-    probs = np.linspace(0, 1, wanted)
-    if len(sample) <= COLLECT_VALUES:
-        values = {float(r[0]) for r in sample} | set(ends or ())
-        if ends:
-            values = {v for v in values if ends[0] <= v <= ends[1]}
-        values = np.sort(list(values))
-        if wanted > len(values):
-            raise ValueError(f"{column}: {len(values)} distinct values, {wanted} knots wanted")
-        return np.quantile(values, probs)
-    points = np.array(quantiles(distinct, column, probs.tolist()).first())
+def covariate_points(frame: DataFrame, wanted: Sequence[tuple[str, str, int, tuple | None]]) -> list[np.ndarray]:
+    """For each (column, basis, k, ends) points of the covariate's distinct values, evenly spaced in rank: k knots of a
+    cubic basis, up to CENTRES centres of a thin plate one. End knots are among the values first, and values beyond them are left out. One
+    search for ranks serves all covariates, whatever the number of their values."""
+    if not wanted:
+        return []
+    spark = frame.sparkSession
+    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x")) for i, (c, *_) in enumerate(wanted)])
+    values = frame.select(F.explode(listed).alias("p")).select("p.*")
+    ends = [(i, float(e)) for i, (*_, given) in enumerate(wanted) for e in given or ()]
     if ends:
-        points[0], points[-1] = ends
-    return points
+        within = F.lit(True)
+        for i, (*_, given) in enumerate(wanted):
+            if given:
+                within &= (F.col("i") != i) | F.col("x").between(float(given[0]), float(given[1]))
+        values = values.where(within).unionByName(spark.createDataFrame(ends, "i int, x double"))
+    n = F.col("n")
+    count = F.lit(0)
+    for i, (_, bs, k, _) in enumerate(wanted):
+        count = F.when(F.col("i") == i, F.least(n, F.lit(CENTRES)) if bs == "tp" else F.lit(k)).otherwise(count)
+    found = order_statistics(values.distinct(), "x", evenly_ranked(count.cast("long")), ["i"])
+    ranked: list[dict] = [{} for _ in wanted]
+    for r in found.collect():
+        ranked[r.i][r.t.i, r.t.side] = (r.x, r.t.part, r.t.n)
+    out = []
+    for (c, bs, k, _), own in zip(wanted, ranked):
+        size = next(iter(own.values()))[2] if own else 0
+        if size < k:
+            raise ValueError(f"{c}: {size} distinct values, {k} {'are needed' if bs == 'tp' else 'knots wanted'}")
+        points = [(own[i, 0][0], own[i, 1][0], own[i, 0][1]) for i in range(len(own) // 2)]
+        out.append(np.array([a if a == b else (1 - h) * a + h * b for a, b, h in points]))
+    return out
 
 
 def _levels(frame: DataFrame, column: str) -> list:
-    rows = frame.select(F.col(column).cast("string").alias("v")).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels in a random effect")
-    return sorted(r[0] for r in rows)
-
-
-def marginal(frame: DataFrame, column: str, bs: str, k: int, ends, cache: dict):
-    key = (column, bs, k, ends)
-    if key not in cache:
-        if bs == "re":
-            cache[key] = LevelBasis(_levels(frame, column))
-        elif bs == "line":
-            cache[key] = LineBasis()
-        elif bs == "tp":
-            distinct = frame.select(column).distinct().limit(CENTRES).count()
-            cache[key] = ThinPlateBasis(covariate_points(frame, column, max(distinct, k)), k)
-        elif bs in ("cr", "cc"):
-            cache[key] = CubicBasis(covariate_points(frame, column, k, ends), cyclic=bs == "cc")
-        else:
+    return sorted(r[0] for r in frame.select(F.col(column).cast("string").alias("v")).distinct().collect())
+
+
+def marginals(frame: DataFrame, wanted: Sequence[tuple[str, str, int, tuple | None]]) -> dict:
+    """The basis of each (column, basis, k, ends)."""
+    wanted = list(dict.fromkeys(wanted))
+    pointed = [w for w in wanted if w[1] in ("tp", "cr", "cc")]
+    points = dict(zip(pointed, covariate_points(frame, pointed)))
+    made = {
+        "re": lambda w: LevelBasis(_levels(frame, w[0])),
+        "line": lambda w: LineBasis(),
+        "tp": lambda w: ThinPlateBasis(points[w], w[2]),
+        "cr": lambda w: CubicBasis(points[w]),
+        "cc": lambda w: CubicBasis(points[w], cyclic=True),
+    }
+    for _, bs, *_ in wanted:
+        if bs not in made:
             raise ValueError(f"unknown basis {bs!r}")
-    return cache[key]
+    return {w: made[w[1]](w) for w in wanted}
 
 
 @dataclass
@@ -150,7 +161,12 @@ class Smooth:
         return slice(self.start, self.start + self.size)
 
     def margins(self, values: Sequence) -> list[np.ndarray]:
-        return [b.design(values[c]) for b, c in zip(self.bases, self.columns)]
+        """Basis rows of each covariate, evaluated once per value of a batch and looked up for its rows."""
+        out = []
+        for b, c in zip(self.bases, self.columns):
+            own, place = np.unique(values[c], return_inverse=True) if b.lookup else (values[c], None)
+            out.append(b.design(own) if place is None else b.design(own)[place])
+        return out
 
     def raw(self, values: Sequence) -> np.ndarray:
         out = None
@@ -200,6 +216,7 @@ class Design:
 
     smooths: list[Smooth]
     variables: list[str]
+    level: LevelTerm | None = None  # the random effect that is kept as a table
 
     @property
     def size(self) -> int:
@@ -215,11 +232,15 @@ class Design:
         n = len(values[0]) if len(values) else 0
         return np.column_stack([np.ones(n), *[sm.design(values) for sm in self.smooths]])
 
-    def term(self, label: str) -> Smooth:
-        for sm in self.smooths:
+    @property
+    def labels(self) -> list[str]:
+        return [sm.label for sm in self.smooths] + ([self.level.label] if self.level else [])
+
+    def term(self, label: str) -> Smooth | LevelTerm:
+        for sm in [*self.smooths, *([self.level] if self.level else [])]:
             if sm.label == label:
                 return sm
-        raise ValueError(f"no term {label!r}; terms are {[sm.label for sm in self.smooths]}")
+        raise ValueError(f"no term {label!r}; terms are {self.labels}")
 
     def without(self, labels: Sequence[str]) -> Design:
         import copy
@@ -227,4 +248,5 @@ class Design:
         for label in labels:
             self.term(label)
         kept = [copy.copy(sm) for sm in self.smooths if sm.label not in labels]
-        return Design(kept, self.variables).place()
+        level = self.level if self.level and self.level.label not in labels else None
+        return Design(kept, self.variables, level).place()
