@@ -109,9 +109,9 @@ def test_fingerprints(awkward):
     assert own == {(i, brute_fingerprint(t)) for i, t in texts_of(awkward)}
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_links_join_what_all_pairs_would(spark, hot):
-    """Clusters of fingerprints a few bits apart, chains of them, and strangers; also with every bucket taken as hot."""
+@pytest.mark.parametrize("distance, rounds", [(4, 1), (3, 2)])
+def test_links_join_what_all_pairs_would(spark, distance, rounds):
+    """Clusters of fingerprints a few bits apart, chains of them, and strangers; after one round more is left to the balls."""
     rnd = random.Random(3)
     points = {0, (1 << 64) - 1}
     for _ in range(6):
@@ -120,14 +120,32 @@ def test_links_join_what_all_pairs_would(spark, hot):
             points.add(at)
             at ^= sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 7)))
         center = rnd.getrandbits(64)
-        points |= {center ^ sum(1 << b for b in rnd.sample(range(64), 2)) for _ in range(15)}
+        points |= {center ^ sum(1 << b for b in rnd.sample(range(64), distance // 2 + i % 2)) for i in range(15)}
     signed = {p - (1 << 64) if p >> 63 else p for p in points}
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    found = {(r.a, r.b) for r in simhash.links(df, hot=hot).collect()}
-    assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 4 for a, b in found)
-    want = brute_components(signed, lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= 4)
-    got = brute_components(signed, lambda a, b: (a, b) in found or (b, a) in found)
-    assert got == want
+    found = {(r.a, r.b) for r in simhash.links(df, distance, rounds=rounds).collect()}
+    near = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= distance
+    assert all(near(a, b) for a, b in found)
+    assert brute_components(signed, lambda a, b: (a, b) in found or (b, a) in found) == brute_components(signed, near)
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3, 4])
+def test_balls_alone_join_what_all_pairs_would(spark, distance):
+    rnd = random.Random(distance)
+    points = set()
+    for _ in range(4):
+        at = rnd.getrandbits(63)
+        points |= {at ^ sum(1 << b for b in rnd.sample(range(63), rnd.randint(1, 4))) for _ in range(12)}
+    near = lambda a, b: bin(a ^ b).count("1") <= distance
+    found = {(r.a, r.b) for r in simhash._ball_links(spark.createDataFrame([(p,) for p in points], "fp long"), distance).collect()}
+    assert all(near(a, b) for a, b in found)
+    assert brute_components(points, lambda a, b: (a, b) in found or (b, a) in found) == brute_components(points, near)
+
+
+def test_distances_beyond_the_balls_are_refused(spark):
+    for distance in (0, 5):
+        with pytest.raises(ValueError, match="distance"):
+            simhash.links(spark.createDataFrame([(1,)], "fp long"), distance)
 
 
 def test_chains_hold_all_and_only_viable_shapes():
@@ -161,6 +179,8 @@ def test_one_row_of_each_group_stays(awkward, empty):
     named = {r.component_id for r in simhash.near_duplicates(awkward).where("doc_id is not null").collect()}
     assert sorted(i for i in ids if i is not None) == sorted(named) and ids.count(None) == 1
     assert simhash.drop_near_duplicates(empty).count() == 0
+    clashing = awkward.withColumnsRenamed({"kept": "stay", "spans": "nth", "label": "_stay"}).withColumns({"__stay": F.lit(1), "__nth": F.lit(2)})
+    assert simhash.drop_near_duplicates(clashing).columns == clashing.columns and simhash.drop_near_duplicates(clashing).count() == len(ids)
 
 
 def test_components_of_chains_stars_and_loops(spark):
