@@ -225,9 +225,22 @@ def pacf_daily(spark, d):
     return rounded(series.pacf(_daily_totals(spark, d), "total", "date", max_lag=2), 9)
 
 
-@query()
+@query(
+    """WITH RECURSIVE s AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i,
+        value - avg(value) OVER (PARTITION BY event_type) AS y FROM events),
+    r AS (SELECT event_type, list(r ORDER BY k) AS r FROM (
+        SELECT a.event_type, b.i - a.i AS k, sum(a.y * b.y) / max(t.q) AS r FROM s a JOIN s b ON a.event_type = b.event_type AND b.i BETWEEN a.i + 1 AND a.i + 36
+        JOIN (SELECT event_type, sum(y * y) AS q FROM s GROUP BY 1) t ON t.event_type = a.event_type GROUP BY 1, 2) GROUP BY 1),
+    steps AS (
+        SELECT event_type, r, 1 AS k, [r[1]] AS phi, r[1] AS a, 1 - r[1] * r[1] AS v FROM r
+        UNION ALL
+        SELECT event_type, r, k + 1, list_append(list_transform(list_zip(phi, list_reverse(phi)), lambda p: p[1] - b * p[2]), b), b, v * (1 - b * b)
+        FROM (SELECT *, (r[k + 1] - list_sum(list_transform(list_zip(phi, list_reverse(r[1:k])), lambda p: p[1] * p[2]))) / v AS b FROM steps WHERE k < len(r))
+    )
+    SELECT event_type, CAST(k AS INTEGER) AS lag, round(a, 8) AS pacf FROM steps"""
+)
 def pacf_readings(spark, d):
-    return series.pacf(table(spark, d, "events"), "value", ["ts", "event_id"], by=["event_type"])
+    return rounded(series.pacf(table(spark, d, "events"), "value", ["ts", "event_id"], by=["event_type"]), 8)
 
 
 _RUNS = """WITH f AS (SELECT *, lag({flag}) OVER (ORDER BY {order}) AS prev FROM ({source})),

@@ -43,12 +43,13 @@ LAMBDA_RANGE = (1e-8, 1e8)
 
 @dataclass(frozen=True)
 class AR:
-    """Autoregressive errors of order p within groups, in row order."""
+    """Autoregressive errors of order p within groups, in row order; `phi` gives their coefficients, else they are estimated."""
 
     p: int
     by: str
     order: Sequence[str]
     bounded: bool = False
+    phi: tuple[float, ...] = ()
 
 
 @dataclass
@@ -716,6 +717,10 @@ def _best_power(settings, family) -> GamModel:
 
 def _with_ar(settings, family, ar: AR) -> GamModel:
     """Alternate between the coefficients and the AR parameters of the working residuals."""
+    if ar.phi:
+        if len(ar.phi) != ar.p:
+            raise ValueError(f"{ar.p} AR coefficients are needed, not {len(ar.phi)}")
+        return _iterate(family=family, phi=np.asarray(ar.phi, dtype=float), **settings)
     model = _iterate(family=family, **settings)
     phi = np.zeros(ar.p)
     for _ in range(20):
