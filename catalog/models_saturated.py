@@ -141,6 +141,20 @@ def gam_kcheck_values(spark, d):
     return made.select("term", F.col("max_df").cast("int").alias("max_df"), F.round("edf", 6).alias("edf"), F.round("k_index", 7).alias("k_index"))
 
 
+@query(
+    """WITH g AS (SELECT l_discount AS x, l_tax AS z, count(*) AS n, var_pop(sqrt(l_quantity)) AS v FROM lineitem GROUP BY 1, 2),
+    e AS (SELECT max(CASE WHEN x = (SELECT min(x) FROM g) AND z = (SELECT min(z) FROM g) THEN v END) + max(CASE WHEN x = (SELECT max(x) FROM g)
+        AND z = (SELECT min(z) FROM g) THEN v END) AS ends FROM g)
+    SELECT 'te(l_discount,l_tax)' AS term, CAST(count(*) - 1 AS INTEGER) AS max_df,
+    round((sum(2 * n * v) + 2 * sum(v) - min(ends)) / (2 * (sum(n) - 1)) / (sum(n * v) / (sum(n) - 1)), 7) AS k_index FROM g, e"""
+)
+def gam_kcheck_cells(spark, d):
+    """The same for a smooth of two variables: the curve through all pairs begins at one corner and ends at the next."""
+    rows = table(spark, d, "lineitem")
+    made = check.k_check(gam(rows, "sqrt(l_quantity)", [te("l_discount", "l_tax", k=(11, 9))], lam=0.0))
+    return made.select("term", F.col("max_df").cast("int").alias("max_df"), F.round("k_index", 7).alias("k_index"))
+
+
 _HOLES = {"y": "CASE WHEN l_linenumber = 2 THEN NULL ELSE sqrt(l_quantity) END", "x": "CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount END"}
 
 

@@ -128,19 +128,19 @@ def threshold_group(spark, d):
 
 @query(
     """WITH v AS (SELECT CASE WHEN l_quantity >= 25.5 THEN 'Above/Equal' ELSE 'Below' END AS "group", l_extendedprice / 1000 AS x FROM lineitem),
-    b AS (SELECT min(x) AS lo, (max(x) - min(x)) / 127 AS step FROM v),
+    b AS (SELECT min(x) AS lo, (max(x) - min(x)) / 511 AS step FROM v),
     s AS (SELECT "group", count(*) AS n, 0.9 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34)
         * pow(count(*), -0.2) AS bw FROM v GROUP BY 1),
-    c AS (SELECT "group", least(floor((x - lo) / step), 126) AS cell, (x - lo) / step - least(floor((x - lo) / step), 126) AS part FROM v, b),
+    c AS (SELECT "group", least(floor((x - lo) / step), 510) AS cell, (x - lo) / step - least(floor((x - lo) / step), 510) AS part FROM v, b),
     w AS (SELECT "group", cell, sum(w) AS w FROM (SELECT "group", cell, 1 - part AS w FROM c UNION ALL SELECT "group", cell + 1, part FROM c) GROUP BY ALL),
-    g AS (SELECT unnest(range(0, 128)) AS i)
+    g AS (SELECT unnest(range(0, 512)) AS i)
     SELECT w."group", CAST(i AS INTEGER) AS point, round(sum(w * exp(-0.5 * pow((i - cell) * step / bw, 2)) / (n * bw * 2.5066282746310002)), 9) AS density
     FROM w JOIN s ON w."group" = s."group", g, b GROUP BY 1, 2"""
 )
 def density_by_group(spark, d):
     df = table(spark, d, "lineitem").select("l_quantity", (F.col("l_extendedprice") / 1000).alias("x"))
     grouped = summary.threshold_group(df, "l_quantity", 25.5)
-    return rounded(summary.density(grouped, "x", ["group"], 128).select("group", "point", "density"), 9)
+    return rounded(summary.density(grouped, "x", ["group"]).select("group", "point", "density"), 9)
 
 
 @query(

@@ -203,8 +203,8 @@ def density(df: DataFrame, value: str, by: Sequence[str], n: int = 512, method:
     """Gaussian kernel density per group on n points over the range of all groups.
 
     Bandwidth: 0.9 * min(sd, IQR/1.34) * count^(-1/5). Each value is split between its two nearest
-    grid points in proportion to distance, so after one grouped count the kernel sums touch at most
-    n weights per group, whatever the number of rows.
+    grid points in proportion to distance, so one grouped count leaves at most n weights per group, whatever the number of
+    rows; the kernel sums run inside an array of those.
     """
     x = col(value).cast("double")
     rows = df.select(*[col(c) for c in by], x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
@@ -230,13 +230,20 @@ def density(df: DataFrame, value: str, by: Sequence[str], n: int = 512, method:
     weights = (
         rows.select(*by, split.alias("s")).groupBy(*by, F.col("s.cell").alias("cell")).agg(F.sum("s.w").alias("w"))
     )
-    joined = weights.join(spread.select(*by, "bw", "n"), list(by))
-    # every grid point gets a term from each weight of its group: n * n terms per group
-    spread_out = joined.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    z = (F.col("i") - F.col("cell")) * step / F.col("bw")
-    kernel = F.col("w") * F.exp(-0.5 * z * z) / (F.col("n") * F.col("bw") * 2.5066282746310002)
-    summed = spread_out.groupBy(*by, "i", "bw").agg(F.sum(kernel).alias("density"))
-    return summed.select(*by, F.col("i").alias("point"), (lo + F.col("i") * step).alias("x"), "density", "bw")
+    # at most n weights lie in a group's array, and every grid point sums over it there
+    arrays = weights.groupBy(*by).agg(F.collect_list(F.struct(F.col("cell").cast("double").alias("cell"), "w")).alias("weights"))
+    joined = arrays.join(spread.select(*by, "bw", "n"), list(by)).withColumn("scale", step / F.col("bw"))
+
+    def kernels(i):
+        def add(total, s):
+            z = (i - s["cell"]) * F.col("scale")
+            return total + s["w"] * F.exp(-0.5 * z * z)
+
+        return F.aggregate("weights", F.lit(0.0), add) / (F.col("n") * F.col("bw") * 2.5066282746310002)
+
+    points = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), kernels)
+    out = joined.select(*by, "bw", F.posexplode(points).alias("point", "density"))
+    return out.select(*by, "point", (lo + F.col("point") * step).alias("x"), "density", "bw")
 
 
 def monthly(df: DataFrame, value: str, date: str, how=F.avg, by: Sequence[str] = (), out: str = "value") -> DataFrame:

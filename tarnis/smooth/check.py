@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnis.functions.columns import normal_quantile
@@ -129,9 +129,6 @@ def residual_histogram(model: GamModel, df: DataFrame, method: str = "select") -
     return histogram(res, ["deviance"], width=width if width > 0 else None)
 
 
-CELLS = 32
-
-
 def k_check(model: GamModel, df: DataFrame | None = None) -> DataFrame:
     """Is each basis large enough? (term, max_df, edf, k_index, p).
 
@@ -140,8 +137,8 @@ def k_check(model: GamModel, df: DataFrame | None = None) -> DataFrame:
     structure is left. All rows count. Rows with the same covariate value have no order of their
     own; the expectation over all their orders is used, which needs only their number, mean and
     variance, so rows are summed per covariate combination before anything is sorted. The p value
-    takes the spread of the index under a random ordering. For smooths of two variables neighbours
-    are the rows of one cell of a fine grid.
+    takes the spread of the index under a random ordering. For smooths of several variables neighbours are those
+    along a space-filling curve.
     """
     variables = model.design.variables
     covs = [f"x{i}" for i in range(len(variables))]
@@ -164,10 +161,10 @@ def k_check(model: GamModel, df: DataFrame | None = None) -> DataFrame:
         edf = float(model.edf_coef[sm.block].sum())
         at = [covs[c] for c in sm.columns]
         if len(at) == 1:
-            index, sd = _line_index(sums, at[0], n, overall), 1 / math.sqrt(n)
+            index = _line_index(sums, at[0], n, overall)
         else:
-            index, sd = _cell_index(sums, at, overall)
-        out.append((sm.label, sm.size, edf, float(index), float(normal_cdf((index - 1) / sd))))
+            index = _curve_index(sums, at, n, overall)
+        out.append((sm.label, sm.size, edf, float(index), float(normal_cdf((index - 1) * math.sqrt(n)))))
     sums.unpersist()
     return model._local(out, "term string, max_df int, edf double, k_index double, p double")
 
@@ -185,25 +182,59 @@ def _spread(sums: DataFrame) -> tuple[int, float]:
     return r["n"], r["n"] * r["v"] / (r["n"] - 1)
 
 
-def _line_index(sums: DataFrame, x: str, n: int, overall: float) -> float:
-    values = sums.groupBy(x).agg(*_pooled())
-    # squared differences of neighbours: inside a group of equal values, and from group to group
+def _steps_index(values: DataFrame, order: Sequence[str], n: int, overall: float) -> float:
+    """Half the mean squared difference between neighbours in an order, over the variance. `values` has a row (n, m, v) for
+    each group of equal covariates: differences count inside the groups and from group to group."""
     previous = {f"{c}0": (lambda w, c=c: F.lag(c).over(w)) for c in ("m", "v")}
-    stepped = over_neighbours(values, previous, [x], before=1)
+    stepped = over_neighbours(values, previous, list(order), before=1)
     jump = F.col("v") + F.col("v0") + F.pow(F.col("m") - F.col("m0"), F.lit(2))
     r = stepped.agg(F.sum(2 * F.col("n") * F.col("v")).alias("inside"), F.sum(jump).alias("between")).first()
     return (r["inside"] + (r["between"] or 0.0)) / (2 * (n - 1)) / overall
 
 
-def _cell_index(sums: DataFrame, at: Sequence[str], overall: float) -> tuple[float, float]:
-    ends = one_row(sums.agg(*[F.min(x).alias(f"lo_{x}") for x in at], *[F.max(x).alias(f"hi_{x}") for x in at]))
-    place = [
-        F.floor((F.col(x) - ends[f"lo_{x}"]) / (ends[f"hi_{x}"] - ends[f"lo_{x}"]) * (CELLS - 1e-9)).alias(f"g_{x}")
+def _line_index(sums: DataFrame, x: str, n: int, overall: float) -> float:
+    return _steps_index(sums.groupBy(x).agg(*_pooled()), [x], n, overall)
+
+
+#: Cells of an axis on the curve, as a power of two.
+CURVE_BITS = 15
+
+
+def curve_place(places: Sequence[Column], bits: int = CURVE_BITS) -> Column:
+    """Place along a space-filling curve of a point given by whole numbers below 2^bits. In two dimensions it is Hilbert's, whose
+    steps never leave the next cell; in more the digits of the numbers are interleaved."""
+    if len(places) != 2:
+        bits = min(bits, 62 // len(places))
+        taken = [F.shiftright(p.cast("long"), CURVE_BITS - bits) for p in places]
+        out = F.lit(0).cast("long")
+        for b in range(bits):
+            for i, p in enumerate(taken):
+                out = out.bitwiseOR(F.shiftleft(F.shiftright(p, b).bitwiseAND(F.lit(1)), b * len(taken) + i))
+        return out
+
+    def turn(at, side):
+        right, up = (F.when(at[c].bitwiseAND(side) > 0, F.lit(1)).otherwise(F.lit(0)) for c in ("x", "y"))
+        flip = lambda c: F.when((up == 0) & (right == 1), F.lit((1 << bits) - 1).cast("long") - at[c]).otherwise(at[c])
+        x, y = flip("x"), flip("y")
+        return F.struct(
+            F.when(up == 0, y).otherwise(x).alias("x"), F.when(up == 0, x).otherwise(y).alias("y"),
+            (at["d"] + side * side * (3 * right).bitwiseXOR(up)).alias("d"),
+        )
+
+    start = F.struct(places[0].cast("long").alias("x"), places[1].cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+    sides = F.array(*[F.lit(1 << b).cast("long") for b in reversed(range(bits))])
+    return F.aggregate(sides, start, turn)["d"]
+
+
+def _curve_index(sums: DataFrame, at: Sequence[str], n: int, overall: float) -> float:
+    """Neighbours of several covariates: those next to each other along a space-filling curve over their ranges."""
+    values = sums.groupBy(*at).agg(*_pooled())
+    ends = one_row(values.agg(*[F.min(x).alias(f"lo_{x}") for x in at], *[F.max(x).alias(f"hi_{x}") for x in at]))
+    most = (1 << CURVE_BITS) - 1
+    places = [
+        F.coalesce(F.least(F.floor(F.try_divide(F.col(x) - ends[f"lo_{x}"], ends[f"hi_{x}"] - ends[f"lo_{x}"]) * (most + 1)), F.lit(most)), F.lit(0)).alias(f"_{x}")
         for x in at
     ]
-    cells = sums.select("n", "m", "v", *place).groupBy(*[f"g_{x}" for x in at]).agg(*_pooled())
-    r = cells.agg(
-        F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") - 1).alias("free")
-    ).first()
-    free = max(r["free"], 1)
-    return r["within"] / free / overall, math.sqrt(2 / free)
+    values = values.select("n", "m", "v", *at, *places)
+    values = values.withColumn("_at", curve_place([F.col(f"_{x}") for x in at]))
+    return _steps_index(values, ["_at", *at], n, overall)

@@ -8,6 +8,7 @@ for the smoothing parameter update.
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -17,6 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnis.functions.stats import lgamma
 from tarnis.operators.order import over_neighbours
 from tarnis.operators.series import innovations
 from tarnis.session import settle
@@ -499,8 +501,7 @@ def fit_frame(frame, terms, family, method, select, ar, lam, estimate_power=Fals
     if estimate_power:
         model = _best_power(settings, family)
     elif estimate_nu:
-        tried = [_iterate(family=ScaledT(v), **settings) for v in (3.0, 4.0, 6.0, 10.0, 20.0, 50.0)]
-        model = max(tried, key=lambda m: m.loglik)
+        model = _best_nu(settings)
     elif ar and ar.p:
         model = _with_ar(settings, family, ar)
     else:
@@ -686,33 +687,125 @@ def _iterate(frame: Frame, design: Design, family: Family, method: str, lam=None
     )
 
 
+#: Values of a family parameter tried in one pass, and the width of the interval at which its search ends.
+TRIED, NARROW = 17, 1e-5
+POWERS = (1.01, 1.99)
+#: Degrees of freedom of a scaled t, searched on the log scale.
+DEGREES = (1.5, 1000.0)
+
+
+def search(value, low: float, high: float, width: float = NARROW) -> float:
+    """Where `value` (of an array of points) is greatest: the interval around the best of TRIED points is cut again and
+    again; a parabola through the last three points ends the search. An end of the interval is returned as it is."""
+    ends = low, high
+    while True:
+        points = np.linspace(low, high, TRIED)
+        values = value(points)
+        best = int(np.argmax(values))
+        if points[best] in ends:
+            low, high = (points[0], points[1]) if best == 0 else (points[-2], points[-1])
+            if high - low <= width:
+                return float(points[best])
+            continue
+        a, m, c = points[best - 1 : best + 2]
+        if c - a <= max(width, 1e-3 * (ends[1] - ends[0])):
+            fa, fm, fc = values[best - 1 : best + 2]
+            bend = fa - 2 * fm + fc
+            return float(m + (0.5 * (m - a) * (fa - fc) / bend if bend < 0 else 0.0))
+        low, high = a, c
+
+
+def _means(model: GamModel, partial) -> np.ndarray:
+    """Sums of `partial(n, ybar, m2, mu)` over the cells at the fitted means."""
+    frame, design, family, beta = model.frame, model.design, model.family, model.beta
+    cells = with_offset(frame.cells, design.level, model.level.effects) if model.level else frame.cells
+
+    def run(pdf: pd.DataFrame) -> np.ndarray:
+        _, y, mu, *_ = _working(pdf, design, family, beta)
+        return partial(pdf["n"].to_numpy(), y, pdf["m2"].to_numpy(), mu)
+
+    return sum_over_rows(cells, run, frame.parts)
+
+
 def _best_power(settings, family) -> GamModel:
-    """Power of a Tweedie response by likelihood: golden section on 1.05..1.95, warm starts."""
-    fits: dict[float, GamModel] = {}
+    """Power of a Tweedie response by likelihood: the likelihood of all powers of a bracket is summed in one pass at the fitted
+    means, the best one is refitted from there, until the power stays."""
+    frame = settings["frame"]
+    values = settle(frame.rows.groupBy("y").agg(F.count(F.lit(1)).cast("double").alias("n")), "responses")
 
-    def at(power: float) -> float:
-        nearest = min(fits, key=lambda q: abs(q - power)) if fits else None
+    def fitted(power: float, beta) -> GamModel:
         new = Tweedie(power)
-        frame = settings["frame"]
-        frame = replace(frame, total=frame.rows.agg(new.total(F.col("y"))).first()[0])
-        warm = fits[nearest].beta if nearest else None
-        fits[power] = _iterate(**{**settings, "frame": frame}, family=new, beta=warm)
-        return fits[power].loglik
-
-    ratio = (5**0.5 - 1) / 2
-    lo, hi = 1.05, 1.95
-    a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-    fa, fb = at(a), at(b)
-    while hi - lo > 0.02:
-        if fa > fb:
-            hi, b, fb = b, a, fa
-            a = hi - ratio * (hi - lo)
-            fa = at(a)
-        else:
-            lo, a, fa = a, b, fb
-            b = lo + ratio * (hi - lo)
-            fb = at(b)
-    return max(fits.values(), key=lambda m: m.loglik)
+        own = replace(frame, total=values.agg(F.sum(F.col("n") * F.pow("y", F.lit(2 - power)))).first()[0])
+        return _iterate(**{**settings, "frame": own}, family=new, beta=beta)
+
+    def likelihood(model: GamModel, powers: np.ndarray) -> np.ndarray:
+        tried = [Tweedie(p) for p in powers]
+
+        def sums(n, y, m2, mu):
+            return np.array([[t.likelihood_terms(n, y, mu)[0], np.sum(t.pearson(n, y, m2, mu))] for t in tried]).ravel()
+
+        kernel, pearson = _means(model, sums).reshape(-1, 2).T
+        scales = pearson / max(model.n - model.edf, 1.0)
+
+        def base(pdf: pd.DataFrame) -> np.ndarray:
+            return np.array([pdf["n"].to_numpy() @ t.log_base(pdf["y"].to_numpy(), scale) for t, scale in zip(tried, scales)])
+
+        return sum_over_rows(values, base, frame.parts) + kernel / scales
+
+    power, model = 1.5, fitted(1.5, None)
+    for _ in range(MAX_STEPS):
+        new = search(lambda p: likelihood(model, p), *POWERS)
+        moved, power = abs(new - power), new
+        model = fitted(power, model.beta)
+        if moved < 1e-4:
+            break
+    else:
+        model.converged = False
+    if power in POWERS:
+        log.warning("the power lies at the edge of its range, %g", power)
+    return model
+
+
+def _best_nu(settings) -> GamModel:
+    """Degrees of freedom of a scaled t response by likelihood, alternating with the fit. At the fitted means one pass sums the
+    likelihood over a grid of degrees and scales, which move together; the grid closes in on the best of its points."""
+    side = 9
+    ends = np.log(DEGREES)
+
+    def likelihood(model: GamModel, nus: np.ndarray, sigmas: np.ndarray) -> np.ndarray:
+        def depth(n, y, m2, mu):
+            square = (y - mu) ** 2
+            return np.array([np.sum(n * np.log1p(square / (s * s * nu))) for nu in nus for s in sigmas])
+
+        nu, sigma = np.repeat(nus, side), np.tile(sigmas, side)
+        constant = lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * np.log(nu * math.pi) - np.log(sigma)
+        return model.n * constant - (nu + 1) / 2 * _means(model, depth)
+
+    def best(model: GamModel) -> np.ndarray:
+        middle = np.array([ends.mean(), math.log(model.family.sigma)])
+        half = np.array([(ends[1] - ends[0]) / 2, 1.0])
+        while half.max() > NARROW:
+            low, high = middle - half, middle + half
+            low[0], high[0] = max(low[0], ends[0]), min(high[0], ends[1])
+            axes = [np.linspace(low[i], high[i], side) for i in (0, 1)]
+            at = np.unravel_index(np.argmax(likelihood(model, *map(np.exp, axes))), (side, side))
+            middle = np.array([axes[i][at[i]] for i in (0, 1)])
+            inside = [0 < at[i] < side - 1 or middle[i] in ends for i in (0, 1)]
+            half = np.where(inside, (high - low) / (side - 1), half)
+        return middle
+
+    log_nu, model = math.log(5.0), _iterate(family=ScaledT(5.0), **settings)
+    for _ in range(MAX_STEPS):
+        new, log_sigma = best(model)
+        moved, log_nu = abs(new - log_nu), float(new)
+        model = _iterate(family=ScaledT(math.exp(log_nu), math.exp(log_sigma)), beta=model.beta, **settings)
+        if moved < 1e-4:
+            break
+    else:
+        model.converged = False
+    if log_nu in ends:
+        log.warning("the degrees of freedom lie at the edge of their range, %g", math.exp(log_nu))
+    return model
 
 
 def _with_ar(settings, family, ar: AR) -> GamModel:
