@@ -23,6 +23,8 @@ from tarnis.llm.common import fresh
 ROUNDS = 10
 #: Rows of a result batch.
 ROWS = 1_000
+#: Characters of a value that are ranked together.
+PIECE = 128
 
 
 class Feistel:
@@ -84,6 +86,7 @@ def iban_digits(country: str, rest: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
+_PLAIN = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -120,8 +123,8 @@ DAY_ONE, DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime
 
 #: Candidates by kind, in the order in which they are tried at a place.
 PATTERNS = {
-    "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z])(?i:password|passwd|secret|api_key|token) ?[=:] ?[\"']?(?=[A-Za-z]*\d)[A-Za-z0-9]{8,128}(?![A-Za-z0-9])",
-    "email": r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z])(?i:password|passwd|secret|api_key|token) ?[=:] ?[\"']?(?=[A-Za-z]*+\d)[A-Za-z0-9]{8,}+",
+    "email": r"(?<![\w.+\x80-\U0010FFFF-])[A-Za-z0-9\x80-\U0010FFFF](?:[A-Za-z0-9._+\x80-\U0010FFFF-]*[A-Za-z0-9\x80-\U0010FFFF])?@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)\d{4})(?![\w]|[./-]\d)",
@@ -148,12 +151,18 @@ class Pseudonyms:
         return getattr(self, kind)(text)
 
     def secret(self, text: str) -> str:
-        fixed = 4 if text.startswith("AKIA") else re.search(r"[A-Za-z0-9]+$", text).start()
+        fixed = 4 if text.startswith("AKIA") else len(text.rstrip(_PLAIN))
         return text[:fixed] + self._shaped("secret", text[fixed:])
 
     def _shaped(self, kind: str, text: str) -> str:
-        rank, size = _read(text)
-        return _write(text, self._move(kind, rank, size)) if size > 1 else text
+        """Long values are moved piece by piece, each with a permutation of its place."""
+        out = []
+        for at in range(0, len(text), PIECE):
+            piece = text[at : at + PIECE]
+            rank, size = _read(piece)
+            own = f"{kind}/{at // PIECE}" if at else kind
+            out.append(_write(piece, self._move(own, rank, size)) if size > 1 else piece)
+        return "".join(out)
 
     def email(self, text: str) -> str:
         local, domain = text.split("@")
@@ -261,8 +270,10 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind",
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: str = "spans", kinds: tuple[str, ...] = tuple(PATTERNS), back: bool = False) -> DataFrame:
     """The table with pseudonyms in its text column, and `spans`: array of (start, end, kind) in the new text.
 
-    Kinds: secret, email, iban, ip, date, phone, ssn, card. What doesn't validate is left as it is, so ordinary numbers
-    stay. A null text stays null and has no spans; empty texts stay empty. Rows are changed one by one: repeated rows
+    Kinds: secret, email, iban, ip, date, phone, ssn, card, of any length. What doesn't validate is left as it is, so ordinary numbers
+    stay. Left as well, since prose and codes look alike: values behind a keyword without a digit or with other characters than letters and
+    digits, North American numbers without country code and parentheses whose area or exchange begins with 0 or 1 or whose groups
+    are joined by dots, dates with month names or before 1900, IPv6 addresses, bearer tokens. The domain of an address and characters beyond ASCII in it stay. A null text stays null and has no spans; empty texts stay empty. Rows are changed one by one: repeated rows
     give repeated results. `back` restores the originals with the same key. A column named like the spans is replaced.
     """
     if not key:

@@ -4,6 +4,7 @@ whole table and derives the digest columns from what the operator returns."""
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -23,8 +24,9 @@ SQL: dict[str, str] = {
     "op13_vector_search": texts.VECTORS,
 }
 
-#: The key of pseudonyms is a setting of the session; the fallback serves tests only.
-KEY_CONF = "spark.tarnis.pseudonym.key"
+#: The key of pseudonyms is a setting of the session, of a name that Spark leaves out of its logs. Where it is unset a random
+#: one is drawn for the session: pseudonyms then can't be undone, nor linked with those of other sessions.
+KEY_CONF = "spark.tarnis.pseudonym.secret"
 TOKENIZER = "word_bpe_49k.json"
 #: The table of pages doesn't tell when they were fetched.
 FETCHED = "2024-01-01T00:00:00Z"
@@ -40,7 +42,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def pseudonym_key(spark: SparkSession) -> bytes:
-    return spark.conf.get(KEY_CONF, "no key was set").encode()
+    key = spark.conf.get(KEY_CONF, "")
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_CONF, key)
+    return key.encode()
 
 
 def encoded(docs: DataFrame) -> DataFrame:

@@ -500,6 +500,22 @@ def test_every_marked_number_and_key_changes(spark):
         assert back.replace(new)[0] == text
 
 
+def test_values_of_any_length_are_replaced():
+    make, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", back=True)
+    for text in ("password=" + "aB3" * 70, "token: " + "x9" * 40_000, "mail to " + "ab.c1" * 30 + "x@uni.de now", "an jörg@uni.de", "api_key='A1b2C3d4'"):
+        new, spans = make.replace(text)
+        assert len(new) == len(text) and spans and back.replace(new)[0] == text
+        changed = [i for i, (a, b) in enumerate(zip(text, new)) if a != b]
+        assert changed[0] < spans[0][0] + 14 and (len(text) < 200 or len(changed) > 0.6 * len(text))
+    assert make.replace("an jörg@uni.de")[0][3] != "j" or make.replace("an jörg@uni.de")[0][5] != "r"
+    assert make.replace("x" * 300_000 + "@")[0] == "x" * 300_000 + "@"
+
+
+def test_an_unset_key_is_drawn_once(spark):
+    first = registered.pseudonym_key(spark)
+    assert len(first) >= 32 and registered.pseudonym_key(spark) == first
+
+
 def test_pseudonyms_of_awkward_rows(spark, awkward, empty):
     more = awkward.unionByName(spark.createDataFrame([(50, PERSONAL, *["x"] * 4), (51, "see " + PERSONAL, *["x"] * 4)], SCHEMA))
     rows = pseudonyms.pseudonymise(more, b"k")
