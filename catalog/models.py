@@ -17,9 +17,10 @@ from tarnis.smooth.bases import LineBasis
 DOY = season.DOY_KNOTS
 
 
-def readings(spark, d):
+def readings(spark, d, *keys):
     """Line items as readings: quantity is positive, `load` has many exact zeros."""
     return table(spark, d, "lineitem").select(
+        *keys,
         F.year("l_shipdate").alias("year"),
         F.dayofyear("l_shipdate").alias("DOY"),
         F.col("l_shipdate").cast("date").alias("date"),

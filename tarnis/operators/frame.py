@@ -13,6 +13,7 @@ from tarnis.functions.columns import (
     col,
     half_limit,
     label_if,
+    nan_to_null,
     phase_label,
     strict_sum,
     week_of_year,
@@ -94,10 +95,10 @@ def one_row(aggregate: DataFrame) -> Column:
 
 
 def zscore(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Each column to mean 0 and sample standard deviation 1, overall or within groups."""
-    pieces = [F.avg(col(c)).alias(f"_m{i}") for i, c in enumerate(cols)]
-    pieces += [F.stddev_samp(col(c)).alias(f"_s{i}") for i, c in enumerate(cols)]
-    scale = lambda c, m, s: F.try_divide(col(c) - m, s)
+    """Each column to mean 0 and sample standard deviation 1, overall or within groups. NaN is missing, and stays so as NULL."""
+    pieces = [F.avg(nan_to_null(c)).alias(f"_m{i}") for i, c in enumerate(cols)]
+    pieces += [F.stddev_samp(nan_to_null(c)).alias(f"_s{i}") for i, c in enumerate(cols)]
+    scale = lambda c, m, s: F.try_divide(nan_to_null(c) - m, s)
     if not by:
         stats = one_row(df.agg(*pieces))
         return df.withColumns(

@@ -102,8 +102,8 @@ def decadal_mean(annual: DataFrame, value: str, date: str, breaks=DECADES, by: S
 
 
 def temporal_ranges(df: DataFrame, value: str, year: str | Column = "year", by: Sequence[str] = ()) -> DataFrame:
-    """Between-year and within-year ranges; the second level sees one row per year."""
-    x = col(value)
+    """Between-year and within-year ranges; the second level sees one row per year. NaN is missing."""
+    x = nan_to_null(value)
     y = (col(year) if isinstance(year, str) else year).alias("_year")
     yearly = df.groupBy(*by, y).agg(
         F.avg(x).alias("mean_year"), (F.max(x) - F.min(x)).alias("seasonal_range")
@@ -120,8 +120,8 @@ def temporal_ranges(df: DataFrame, value: str, year: str | Column = "year", by:
 
 
 def summary_quartiles(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "select") -> DataFrame:
-    """min, q1, median, mean, q3, max and the number of missing values."""
-    x = col(value)
+    """min, q1, median, mean, q3, max and the number of missing values, NaN among them."""
+    x = nan_to_null(value)
     basic = df.groupBy(*by).agg(
         F.min(x).alias("min"),
         F.avg(x).alias("mean"),
@@ -135,14 +135,14 @@ def summary_quartiles(df: DataFrame, value: str, by: Sequence[str] = (), method:
 def corr_matrix(df: DataFrame, cols: Sequence[str], use: str = "pairwise", by: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of every pair (x before y), long form, one aggregate.
 
-    `use='pairwise'` takes the rows where both values are present, 'complete' those with all.
+    `use='pairwise'` takes the rows where both values are present, 'complete' those with all. NaN is not present.
     """
     if use == "complete":
         df = df.na.drop(subset=list(cols))
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     made = []
     for i, (a, b) in enumerate(pairs):
-        both = col(a).isNotNull() & col(b).isNotNull()
+        both = nan_to_null(a).isNotNull() & nan_to_null(b).isNotNull()
         xa, xb = F.when(both, col(a).cast("double")), F.when(both, col(b).cast("double"))
         # no variation in a column: no correlation
         varies = (F.min(xa) < F.max(xa)) & (F.min(xb) < F.max(xb))

@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from tarnis.operators.summary import annual_summary, histogram, summary6
+from tarnis.operators.frame import zscore
+from tarnis.operators.summary import annual_summary, corr_matrix, histogram, summary6, summary_quartiles, temporal_ranges
 from tarnis.plans.season import choose_order
 from tarnis.smooth import gam, re, s
 from tarnis.smooth.fit import AR
@@ -46,3 +47,16 @@ def test_curves_beside_a_random_effect(spark):
     model = gam(spark.createDataFrame([(x, g, x * x + (g == "b") + e) for x, g, e in rows], "x double, g string, y double"), "y", [s("x", k=5), re("g")])
     assert model.change("s(x)", n=20).count() == 20
     assert {r["g"] for r in model.line("x", n=5).collect()} == {"a"}
+
+
+def test_nan_is_missing_in_scores_ranges_and_correlations(spark):
+    rows = [(float(i), float(i * i % 7), 2000 + i % 3, "a" if i % 2 else "b") for i in range(30)]
+    clean = spark.createDataFrame(rows, "x double, y double, year int, g string")
+    holes = clean.unionByName(spark.createDataFrame([(math.nan, 1.0, 2000, "a"), (2.0, math.nan, 2001, "b"), (None, None, 2002, "a")], clean.schema))
+    z = zscore(holes, ["x"]).collect()
+    assert sum(r.x is None for r in z) == 2 and abs(sum(r.x for r in z if r.x is not None)) < 1e-9
+    assert all(r.x is None or not math.isnan(r.x) for r in zscore(holes, ["x", "y"], ["g"]).collect())
+    assert temporal_ranges(holes.where("y IS NULL OR NOT isnan(y)"), "x").first() == temporal_ranges(clean, "x").first()
+    assert summary_quartiles(holes, "x").first()["nulls"] == 2 and summary_quartiles(holes, "x").first()["max"] == 29
+    both = clean.unionByName(spark.createDataFrame([(math.nan, 1.0, 2000, "a")], clean.schema))
+    assert corr_matrix(both, ["x", "y"]).first()["corr"] == pytest.approx(corr_matrix(clean, ["x", "y"]).first()["corr"])
