@@ -11,6 +11,7 @@ from tarnis.functions.columns import col
 from tarnis.session import cut_lineage
 
 BLOCK_ROWS = 1 << 17
+SPAN = 1 << 12  # blocks whose totals are added up together
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
@@ -99,16 +100,26 @@ def with_running_total(
     name: str = "total",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Running sum along each series in the order of a row number: block totals first (one row per
-    block), then within blocks."""
+    """Running sum along each series in the order of a row number, in levels: rows within blocks, blocks within groups of
+    blocks, groups within the series. A window holds at most `block_rows` rows on the first level and SPAN blocks on the second, and the last
+    has one row for each block_rows * SPAN rows."""
     blocked = df.withColumns({"_block": F.floor(F.col(index) / block_rows), "_value": value})
     keys = [*by, "_block"]
-    blocks = blocked.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
-    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-    blocks = blocks.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_before")
-    same = [col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    blocks = blocked.groupBy(*keys).agg(F.sum("_value").alias("_sum")).withColumn("_span", F.floor(F.col("_block") / SPAN))
+    spans = blocks.groupBy(*by, "_span").agg(F.sum("_sum").alias("_total"))
+    before = lambda x, w, at: F.coalesce(F.sum(x).over(w.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a constant, so that a table of one series has a partition as well
+    spans = spans.withColumn("_all", F.lit(0)).withColumn("_start", before("_total", Window.partitionBy(*by, "_all"), "_span"))
+    blocks = blocks.withColumn("_before", before("_sum", Window.partitionBy(*by, "_span"), "_block"))
+    blocks = _matched(blocks, spans.select(*by, "_span", "_start"), [*by, "_span"])
+    blocks = blocks.select(*by, "_block", (F.col("_start") + F.col("_before")).alias("_before"))
     inside = Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    joined = blocked.join(blocks, same).drop(*[f"_k{i}" for i in range(len(keys))])
-    summed = joined.withColumn(name, F.col("_before") + F.sum("_value").over(inside))
+    summed = _matched(blocked, blocks, keys).withColumn(name, F.col("_before") + F.sum("_value").over(inside))
     return summed.drop("_block", "_value", "_before")
+
+
+def _matched(df: DataFrame, table: DataFrame, keys: Sequence) -> DataFrame:
+    """The columns of a table with one row per key beside the rows of that key; a null key matches itself."""
+    table = table.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[c for c in table.columns if c not in keys])
+    same = [col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    return df.join(table, same).drop(*[f"_k{i}" for i in range(len(keys))])

@@ -83,6 +83,14 @@ def test_blocked_windows_equal_plain_windows(spark, block):
     assert sorted(a.collect()) == sorted(b.select(a.columns).collect())
 
 
+@pytest.mark.parametrize("span", [4096, 3])
+def test_running_total_of_one_series(spark, monkeypatch, span):
+    monkeypatch.setattr(order, "SPAN", span)
+    df = spark.createDataFrame([(i, i * i % 11) for i in range(900)], "i long, x long").repartition(4)
+    got = {r.i: r.total for r in order.with_running_total(df, F.col("x"), "i", block_rows=25).collect()}
+    assert [got[i] for i in range(900)] == np.cumsum([i * i % 11 for i in range(900)]).tolist()
+
+
 def test_running_total_across_blocks(spark):
     rows = [("a" if i % 3 else "b", i, i % 7) for i in range(2000)]
     df = spark.createDataFrame(rows, "s string, t long, x long").repartition(4)
