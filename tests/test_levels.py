@@ -109,3 +109,9 @@ def test_no_variance_between_levels(spark):
     df = spark.createDataFrame(pd.DataFrame({"g": [str(i % 5) for i in range(300)], "x": rng.uniform(size=300), "y": np.tile(np.repeat([1.0, 2.0, 3.0], 5), 20)}))
     model = gam(df, "y", [linear("x"), re("g")])
     assert model.level.edf < 1e-3 and model.edf == pytest.approx(2, abs=1e-3)
+
+
+def test_predictions_join_and_group_nothing(grouped):
+    model = gam(grouped, "y", [s("x", bs="cr", k=6)])
+    plan = model.predict(grouped)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "ArrowEvalPython" in plan
