@@ -28,7 +28,7 @@ def _line(spark, d):
     round(3 * ln(n) - 2 * ll, 4) AS bic FROM l"""
 )
 def gam_line_statistics(spark, d):
-    out = _line(spark, d)[1].statistics().drop("family", "method", "criterion", "variance_power", "ar", "converged")
+    out = _line(spark, d)[1].statistics().drop("family", "method", "criterion", "variance_power", "ar", "converged", "gradient")
     digits = {"edf": 6, "scale": 6, "deviance": 3, "deviance_explained": 9, "r2_adjusted": 9, "loglik": 4, "aic": 4, "bic": 4}
     for name, k in digits.items():
         out = rounded(out, k, [name])

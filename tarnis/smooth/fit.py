@@ -395,38 +395,61 @@ class Solution:
     inverse: np.ndarray  # (A + S)^-1
     scale: float
     score: float
+    gradient: float = 0.0  # largest of the score in a log smoothing parameter, at the scale
+
+
+#: Bounds of that gradient: where the updates end, and above which a fit has not converged.
+GRADIENT, LARGE_GRADIENT = 1e-6, 1e-3
+UPDATES = 300
 
 
 def choose_smoothing(r: Pass, n: int, penalties, lam, span, method: str, fixed: bool, scale: float | None = None) -> Solution:
-    """Update every smoothing parameter on the current cross-products until the score settles."""
+    """Update every smoothing parameter on the current cross-products until the gradient of the score is zero within GRADIENT. A
+    parameter at an end of its range that would leave it counts as settled. Steps that the last two make predictable are lengthened, and
+    taken back to plain ones where that raises the score."""
     size = len(r.cross)
     restricted = [span.T[:, p.block] @ p.matrix @ span[p.block] for p in penalties]
     unpenalised = size - span.shape[1]
     invert = PenalisedInverse(size, penalties)
-    lam, last = lam.copy(), np.inf
-    for _ in range(200):
+    low, high = np.log(LAMBDA_RANGE)
+
+    def at(lam):
         s = total_penalty(size, penalties, lam)
         inverse = invert(r.gram, s)
         beta = inverse @ r.cross
         edf = np.einsum("ij,ji->i", inverse, r.gram)
         rss = max(r.square - 2 * beta @ r.cross + beta @ r.gram @ beta, 1e-300)
         phi = scale or rss / max(n - edf.sum(), 1.0)
-        score = _score(r, n, beta, s, span, unpenalised, rss, phi, method)
-        if fixed or not penalties or abs(last - score) < 1e-5:
-            break
-        last = score
+        return s, Solution(beta, lam, edf, inverse, phi, _score(r, n, beta, s, span, unpenalised, rss, phi, method))
+
+    s, sol = at(lam.copy())
+    if fixed or not penalties:
+        return sol
+    last = None  # the step before, where that was a plain one
+    for _ in range(UPDATES):
         prior = safe_inverse(span.T @ s @ span)
-        if method == "ML":
-            posterior = span @ safe_inverse(span.T @ (r.gram + s) @ span) @ span.T
-        else:
-            posterior = inverse
-        step = np.empty_like(lam)
-        for j, p in enumerate(penalties):
-            gain = np.sum(prior * restricted[j]) - np.sum(posterior[p.block, p.block] * p.matrix)
-            size_j = beta[p.block] @ p.matrix @ beta[p.block]
-            step[j] = phi * max(gain, 1e-12) / max(size_j, 1e-300)
-        lam = np.clip(lam * np.clip(step, 1e-3, 1e3), *LAMBDA_RANGE)
-    return Solution(beta, lam, edf, inverse, phi, score)
+        posterior = sol.inverse if method == "REML" else span @ safe_inverse(span.T @ (r.gram + s) @ span) @ span.T
+        gains = [np.sum(prior * q) - np.sum(posterior[p.block, p.block] * p.matrix) for p, q in zip(penalties, restricted)]
+        sizes = [sol.beta[p.block] @ p.matrix @ sol.beta[p.block] for p in penalties]
+        gains, sizes, logs = np.maximum(gains, 1e-12), np.maximum(sizes, 1e-300), np.log(sol.lam)
+        step = np.clip(np.log(sol.scale * gains / sizes), -np.log(1e3), np.log(1e3))
+        settled = ((logs >= high) & (step > 0)) | ((logs <= low) & (step < 0))
+        slopes = np.where(settled, 0.0, 0.5 * sol.lam * (sizes / sol.scale - gains))
+        sol.gradient = float(np.abs(slopes).max())
+        if sol.gradient < GRADIENT:
+            break
+        longer = step
+        if last is not None:
+            # steps that shrink by a constant factor add up to a geometric series
+            factor = np.where(np.abs(last) > 1e-12, step / np.where(last == 0, 1, last), 0)
+            longer = np.where((factor > 0) & (factor < 0.98), step / (1 - factor), step)
+        new_s, new = at(np.exp(np.clip(logs + np.clip(longer, -np.log(1e3), np.log(1e3)), low, high)))
+        if longer is not step and new.score > sol.score + 1e-9:
+            longer = step
+            new_s, new = at(np.exp(np.clip(logs + step, low, high)))
+        last = step if longer is step else None
+        s, sol = new_s, new
+    return sol
 
 
 def _score(r, n, beta, s, span, unpenalised, rss, phi, method) -> float:
@@ -634,10 +657,11 @@ def _iterate(frame: Frame, design: Design, family: Family, method: str, lam=None
         family.sigma, at = float(np.sqrt(first.scale)), system.proposal(first)
         r = system.read(*at)
 
-    previous, sol, converged = None, None, False
+    previous, sol, converged, gradient = None, None, False, 0.0
     for step in range(MAX_STEPS):
         known = family.sigma**2 if isinstance(family, ScaledT) else None
         sol = system.choose(r, known)
+        gradient = sol.gradient
         if family.name == "gaussian":
             # linear in the response: the cross-products already give the deviance
             at, converged = (sol.beta, None), True
@@ -665,8 +689,9 @@ def _iterate(frame: Frame, design: Design, family: Family, method: str, lam=None
             converged = True
             break
         previous = value
+    converged = converged and gradient < LARGE_GRADIENT
     if not converged:
-        log.warning("no convergence after %d steps; the deviance was last %.8g", MAX_STEPS, r.deviance)
+        log.warning("no convergence: %d steps, deviance %.8g, gradient of the smoothing parameters %.2g", step + 1, r.deviance, gradient)
     known = family.sigma**2 if isinstance(family, ScaledT) else None
     beta = at[0]
     final = system.choose(r, known, final=True)
@@ -683,7 +708,7 @@ def _iterate(frame: Frame, design: Design, family: Family, method: str, lam=None
         frame=frame, design=design, family=family, method=method, beta=beta, lam=lams,
         covariance=scale * final.inverse, edf_coef=final.edf, scale=float(scale), last=last,
         penalty=s, penalty_span=system.span, inverse=final.inverse, phi=np.asarray(phi, dtype=float),
-        working_score=final.score, level=level, converged=converged,
+        working_score=final.score, level=level, converged=converged, gradient=gradient,
     )
 
 

@@ -52,6 +52,7 @@ class GamModel:
     ar: object = None
     level: object = field(default=None, repr=False)  # the levels of a random effect
     converged: bool = True
+    gradient: float = 0.0  # of the score in the log smoothing parameters, at the end
 
     # --- numbers ---
 
@@ -181,18 +182,19 @@ class GamModel:
         return self._local(rows, "term string, edf double, max_df int, f double, p double")
 
     def statistics(self) -> DataFrame:
-        """One row: family, n, edf, scale, deviance explained, adjusted R2, criterion, AIC, BIC, and whether the fit converged."""
+        """One row: family, n, edf, scale, deviance explained, adjusted R2, criterion, AIC, BIC, whether the fit converged, and the
+        gradient of the criterion in the log smoothing parameters."""
         row = (
             self.family.name, self.n, self.edf, self.scale, self.deviance, self.deviance_explained,
             float(self.r2_adjusted), self.method, self.criterion, self.loglik, self.aic, self.bic,
-            float(self.family.variance_power), [float(a) for a in self.phi], self.converged,
+            float(self.family.variance_power), [float(a) for a in self.phi], self.converged, self.gradient,
         )
         return self._local(
             [tuple(float(v) if isinstance(v, np.floating) else v for v in row)],
             "family string, n long, edf double, scale double, deviance double,"
             " deviance_explained double, r2_adjusted double, method string, criterion double,"
             " loglik double, aic double, bic double, variance_power double, ar array<double>,"
-            " converged boolean",
+            " converged boolean, gradient double",
         )
 
     def coefficients(self) -> DataFrame:
