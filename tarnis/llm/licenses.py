@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Letters that are lowered; those of other scripts stay as they are.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words, in a text whose A-Z are not lowered yet.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -262,7 +264,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     columns are ignored. All work stays within the row, so nothing is shuffled.
     """
     out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    flat = F.trim(F.regexp_replace(F.lower("text"), BREAK, " "))
+    flat = F.trim(F.regexp_replace(F.translate("text", UPPER, UPPER.lower()), BREAK, " "))
     none = F.array().cast("array<string>")
     out = out.select("doc_id", F.when(flat == "", none).otherwise(F.split(flat, " ")).alias("words"))
     out = out.withColumn("anchors", F.array_intersect("words", F.array(*map(F.lit, ANCHORS))))

@@ -67,7 +67,7 @@ _FOUND = """
 """
 
 LICENSES = f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
 w AS (
   SELECT doc_id, len(words) AS n_words, ' ' || array_to_string(words, ' ') || ' ' AS plain,
     array_to_string(list_transform(words, lambda x, i: ' ' || x || ':' || (i - 1) || ' '), '') AS placed
